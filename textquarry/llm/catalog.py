@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .mixing import OP3_SQL, op3_mix_sources
+from .quality_rules import OP4_SQL, op4_quality_rules
 
 
 def queries() -> dict:
-    found = [op8_line_dedup]
+    found = [op3_mix_sources, op4_quality_rules, op8_line_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_line_dedup": OP8_SQL}
