@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from .chat_repair import op6_repair_chats
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP3_SQL, op3_mix_sources
+from .suffix_dedup import op1_suffix_dedup
 from .quality_rules import OP4_SQL, op4_quality_rules
 
 
 def queries() -> dict:
-    found = [op3_mix_sources, op4_quality_rules, op8_line_dedup]
+    found = [op1_suffix_dedup, op3_mix_sources, op4_quality_rules, op6_repair_chats, op8_line_dedup]
     return {f.__name__: f for f in found}
 
 
