@@ -135,40 +135,42 @@ def repair_chats(turns: DataFrame, costs: dict[str, float] | None = None) -> Dat
                 s = i
 
     conv_type = turns.schema["conv_id"].dataType
-    piece_schema = T.StructType([T.StructField("conv_id", conv_type), T.StructField("part", T.IntegerType()), T.StructField("costs", T.ArrayType(T.DoubleType()))])
-    border_schema = T.StructType([T.StructField("conv_id", conv_type), T.StructField("part", T.IntegerType()), T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType()), T.StructField("last", T.BooleanType())])
+    piece_schema = T.StructType([T.StructField("conv_id", conv_type), T.StructField("part", T.IntegerType()), T.StructField("turns", T.LongType()), T.StructField("costs", T.ArrayType(T.DoubleType()))])
+    border_schema = T.StructType([T.StructField("conv_id", conv_type), T.StructField("part", T.IntegerType()), T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType()), T.StructField("last", T.BooleanType()), T.StructField("before", T.LongType())])
 
     def reduce_part(t):
         t = t.sort_by("pos")
         roles, part = [role_of(r) for r in t.column("role").to_pylist()], t.column("part")[0].as_py()
-        conv, costs_ = [], []
+        conv, sizes, costs_ = [], [], []
         found = list(pieces(t))
         for c, s, e in found:
             # Only the first and the last conversation of a part can go on in another part.
             entries = range(4) if s == 0 or e == len(roles) else (START,)
             conv.append(c)
+            sizes.append(e - s)
             costs_.append([x for q in range(4) for x in (forward(roles[s:e], table, [0.0 if p == q else INFINITE for p in range(4)])[0] if q in entries else [INFINITE] * 4)])
-        return pa.table({"conv_id": pa.array(conv, t.schema.field("conv_id").type), "part": pa.array([part] * len(conv), pa.int32()), "costs": pa.array(costs_, pa.list_(pa.float64()))})
+        return pa.table({"conv_id": pa.array(conv, t.schema.field("conv_id").type), "part": pa.array([part] * len(conv), pa.int32()), "turns": pa.array(sizes, pa.int64()), "costs": pa.array(costs_, pa.list_(pa.float64()))})
 
     def borders(t):
         t = t.sort_by([("part", "ascending")])
         by: dict = {}
-        for c, p, m in zip(t.column("conv_id").to_pylist(), t.column("part").to_pylist(), t.column("costs").to_pylist()):
-            by.setdefault(c, []).append((p, np.array(m).reshape(4, 4)))
+        for c, p, n, m in zip(*(t.column(x).to_pylist() for x in ("conv_id", "part", "turns", "costs"))):
+            by.setdefault(c, []).append((p, n, np.array(m).reshape(4, 4)))
         out: list[tuple] = []
         for c, chain in by.items():
             cost, back = np.array([0.0, INFINITE, INFINITE, INFINITE]), []
-            for _, m in chain:
+            for _, _, m in chain:
                 ways = cost[:, None] + m
                 back.append(ways.argmin(0))
                 cost = ways.min(0)
-            state, found = best_end(cost.tolist(), ends), []
-            for (p, _), came in zip(reversed(chain), reversed(back)):
-                found.append((c, p, int(came[state]), state, p == chain[-1][0]))
+            state, found, before = best_end(cost.tolist(), ends), [], sum(n for _, n, _ in chain)
+            for (p, n, _), came in zip(reversed(chain), reversed(back)):
+                before -= n
+                found.append((c, p, int(came[state]), state, p == chain[-1][0], before))
                 state = int(came[state])
             out += found[::-1]
         cols = list(zip(*out))
-        types = [t.schema.field("conv_id").type, pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        types = [t.schema.field("conv_id").type, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
         return pa.Table.from_arrays([pa.array(x, y) for x, y in zip(cols, types)], names=border_schema.names)
 
     out = T.StructType([
@@ -181,15 +183,15 @@ def repair_chats(turns: DataFrame, costs: dict[str, float] | None = None) -> Dat
         if not left.num_rows:
             return C.empty_like(arrow)
         t = left.sort_by("pos")
-        names, texts, turn, pos = (t.column(c).to_pylist() for c in ("role", "text", "turn", "pos"))
+        names, texts, turn = (t.column(c).to_pylist() for c in ("role", "text", "turn"))
         roles = [role_of(r) for r in names]
-        known = {c: (entry, leave, last) for c, entry, leave, last in zip(*(right.column(x).to_pylist() for x in ("conv_id", "entry", "leave", "last")))}
+        known = {c: x for c, *x in zip(*(right.column(x).to_pylist() for x in ("conv_id", "entry", "leave", "last", "before")))}
         made = []
         for c, s, e in pieces(t):
-            entry, leave, last = known[c]
+            entry, leave, last, before = known[c]
             first, path = entry == START, trace(roles[s:e], table, entry, leave)
             for i, (_, _, to, chain, action) in zip(range(s, e), path):
-                seq = pos[i] * 8
+                seq = (before + i - s) * 8
                 for k, x in enumerate(chain):
                     made.append((c, seq + k, None, None, ROLES[x], "insert", head(x, first)))
                     first = False
@@ -198,7 +200,7 @@ def repair_chats(turns: DataFrame, costs: dict[str, float] | None = None) -> Dat
                 made.append([c, seq + 3, turn[i], names[i], ROLES[to], action, text])
             if last:
                 for k, x in enumerate(ends[leave][1]):
-                    made.append([c, pos[e - 1] * 8 + 4 + k, None, None, ROLES[x], "insert", head(x, first)])
+                    made.append([c, (before + e - 1 - s) * 8 + 4 + k, None, None, ROLES[x], "insert", head(x, first)])
                 made[-1][-1] += "<|end|>\n"
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), arrow)], names=arrow.names)
 
