@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from .chat_repair import op6_repair_chats
+from .decontamination import op2_decontaminate
+from .license_scan import op10_license_scan
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP3_SQL, op3_mix_sources
-from .suffix_dedup import op1_suffix_dedup
 from .quality_rules import OP4_SQL, op4_quality_rules
+from .suffix_dedup import op1_suffix_dedup
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    found = [op1_suffix_dedup, op3_mix_sources, op4_quality_rules, op6_repair_chats, op8_line_dedup]
+    found = [op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op4_quality_rules, op5_toxicity, op6_repair_chats, op8_line_dedup, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
