@@ -18,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 FLUSH_BYTES = 24 << 20
 SEND = "to int, sender int, payload binary"
@@ -43,20 +44,20 @@ def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def compress(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def compress(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def freeze(table: pa.Table | pa.RecordBatch) -> bytes:
+def freeze(table: pa.Table | pa.RecordBatch, level: int = 1) -> bytes:
     """Arrow data as compressed bytes."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write(table)
-    return compress(sink.getvalue())
+    return compress(sink.getvalue(), level)
 
 
 def thaw(data: bytes) -> pa.Table:
@@ -103,7 +104,7 @@ def pack(docs: DataFrame, groups: int) -> DataFrame:
             ends = np.append(starts[1:], len(to))
             for s, e in zip(starts.tolist(), ends.tolist()):
                 part = pa.Table.from_batches(rest.slice(s, e - s).to_batches())
-                yield pa.RecordBatch.from_arrays([pa.array([int(to[s])], pa.int32()), pa.array([freeze(part)], pa.binary())], names=["g", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[s])], pa.int32()), pa.array([freeze(part, 3)], pa.binary())], names=["g", "blob"])
 
         for batch in batches:
             for s in range(0, batch.num_rows, 2000):
@@ -137,6 +138,32 @@ def texts_of(table: pa.Table) -> list[bytes]:
     return [x if x is not None else b"" for x in table.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
 
 
+def drop_rows(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
+    """docs without the rows whose doc_id is in ids; with `once`, only the first row of each doc_id that stays.
+
+    Rows with a null doc_id stay. ids may hold any number of rows; each group of documents gets its own.
+    """
+    groups = group_count(docs.sparkSession)
+    packed = pack(docs, groups)
+    gone = ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    gone = gone.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("doc_id").alias("ids"))
+    arrow = to_arrow_schema(docs.schema)
+
+    def rest(left, right):
+        if not left.num_rows:
+            return empty_like(arrow)
+        known = {i for x in right.column("ids").to_pylist() for i in x} if right.num_rows else set()
+        table, at = unpacked(left), []
+        for k, i in enumerate(table.column("doc_id").to_pylist()):
+            if i is None or i not in known:
+                at.append(k)
+                if once and i is not None:
+                    known.add(i)
+        return table.take(pa.array(at, pa.int64())).cast(arrow)
+
+    return packed.groupBy("g").cogroup(gone.groupBy("g")).applyInArrow(rest, docs.schema)
+
+
 def sends(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"to": pa.array([r[0] for r in rows], pa.int32()), "sender": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 

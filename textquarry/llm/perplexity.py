@@ -162,7 +162,7 @@ class Lookup:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None) -> DataFrame:
-    """All columns of docs, and n_scored (characters), perplexity and trusted: one row per row of docs.
+    """All columns of docs but text, and n_scored (characters), perplexity and trusted: one row per row of docs.
 
     trusted has the doc_id of the documents to train on; all of their text is used. A text without characters has null
     perplexity. Columns of those names in docs give way.
@@ -235,7 +235,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
         p = np.log(p).astype(np.float32)
         return sends([(g, s, compress(p[np.searchsorted(every, a)].tobytes())) for g, a in zip(left.column("sender").to_pylist(), asked)])
 
-    out = docs.withColumn("n_scored", F.lit(0).cast("long")).withColumn("perplexity", F.lit(0.0)).withColumn("trusted", F.lit(True)).schema
+    out = docs.drop("text").withColumn("n_scored", F.lit(0).cast("long")).withColumn("perplexity", F.lit(0.0)).withColumn("trusted", F.lit(True)).schema
     arrow = to_arrow_schema(out)
     tagged = "sender int, payload binary, ids array<" + docs.schema["doc_id"].dataType.simpleString() + ">"
 
@@ -245,7 +245,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
         docs_ = unpacked(left)
         texts = texts_of(docs_)
         answers = {s: np.frombuffer(expand(x), np.float32) for s, x in zip(right.column("sender").to_pylist(), right.column("payload").to_pylist()) if s >= 0}
-        names = right.filter(pa.compute.less(right.column("sender"), 0))
+        names = right.filter(pa.array([s < 0 for s in right.column("sender").to_pylist()], pa.bool_()))
         keys = distinct_grams(texts)
         value, place = np.zeros(len(keys), np.float32), shard_of(keys, shards)
         for s, at in C.bucket_slices(place, place):
@@ -257,8 +257,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
             n.append(sizes)
             sums.append(total[ends] - total[ends - sizes])
         n, sums = np.concatenate(n), np.concatenate(sums)
+        known = trusted_of(docs_, names)
         result = np.exp(-sums / np.maximum(n, 1))
-        docs_ = docs_.append_column("n_scored", pa.array(n)).append_column("perplexity", pa.array(result, mask=n == 0)).append_column("trusted", pa.array(trusted_of(docs_, names)))
+        docs_ = docs_.drop_columns(["text"]).append_column("n_scored", pa.array(n)).append_column("perplexity", pa.array(result, mask=n == 0)).append_column("trusted", pa.array(known))
         return docs_.cast(arrow)
 
     asked = packed.groupBy("g").cogroup(ids.groupBy("g")).applyInArrow(ask, C.SEND).repartition(shards, "to")
@@ -270,7 +271,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
 
 
 def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.15, doubt: float = 2.5, least: int = 30) -> DataFrame:
-    """All columns of docs, and n_scored, perplexity, trusted, bound, limit and kept: one row per row of docs.
+    """All columns of docs but text, and n_scored, perplexity, trusted, bound, limit and kept: one row per row of docs.
 
     bound is what the perplexity may be at least, perplexity * exp(-doubt / sqrt(n_scored)): few characters tell little.
     A document is rejected if that is above its language's limit: slack times the quantile of the trusted documents of
