@@ -16,8 +16,14 @@ from .toxicity import op5_toxicity
 
 def queries() -> dict:
     found = [op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op4_quality_rules, op5_toxicity, op6_repair_chats, op7_quality_classifier, op8_line_dedup, op9_near_duplicates, op10_license_scan]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_mix_sources": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_line_dedup": OP8_SQL}
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
