@@ -10,9 +10,6 @@ lost executor costs only the tasks it had done.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -20,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.lineage import cut  # noqa: F401
+
 FLUSH_BYTES = 24 << 20
 SEND = "to int, sender int, payload binary"
 
@@ -28,18 +27,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that all executors share; spark.checkpoint.dir names it.
-
-    Only where neither the session nor the context has one (tests), a temporary folder is set.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "textquarry-checkpoints")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
