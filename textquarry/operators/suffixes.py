@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import Alphabet
+from ..functions.alphabet import LATIN, Alphabet
 from ..plans.lineage import cut
 from .build import at
 
@@ -27,7 +27,10 @@ def suffix_array(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
     the dense symbol before the suffix, 0 at a text's start: the Burrows-Wheeler transform.
     """
     rows = texts.select("text_id", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.length("t").cast("long"))).alias("position"))
-    rows = rows.withColumn("suffix", at(F.col("t"), F.col("position"), F.length("t")))
+    # Suffixes are compared by dense symbols, whose order need not be that of bytes.
+    canonical, dense = (bytes(g[0] for g in alphabet.groups), bytes(range(1, len(alphabet.groups) + 1)))
+    order = F.encode(F.translate(F.decode("t", LATIN), canonical.decode("latin-1"), dense.decode("latin-1")), LATIN)
+    rows = rows.withColumn("suffix", at(order, F.col("position"), F.length("t")))
     before = F.when(F.col("position") == 0, F.lit(0)).otherwise(alphabet.encode(F.ascii(F.decode(at(F.col("t"), F.col("position") - 1, 1), "ISO-8859-1"))))
     ordered = numbered(rows.select("text_id", "position", "suffix", before.alias("symbol")), ["suffix", "text_id"], "sa_row")
     return ordered.select("sa_row", "text_id", "position", "symbol")
