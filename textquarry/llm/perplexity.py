@@ -10,6 +10,8 @@ text's characters gives its perplexity. Documents above their language's quantil
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,7 @@ from . import common as C
 from .common import compress, expand, freeze, mix, pack_sorted, sends, texts_of, thaw, unpack_sorted, unpacked
 
 ORDER = 5
+HELD_OUT = 5
 CHUNK_CHARS = 1 << 20
 EDGE = 0
 
@@ -162,22 +165,26 @@ class Lookup:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None) -> DataFrame:
-    """All columns of docs but text, and n_scored (characters), perplexity and trusted: one row per row of docs.
+    """All columns of docs but text, and n_scored (characters), perplexity, trusted and held_out: one row per row of docs.
 
-    trusted has the doc_id of the documents to train on; all of their text is used. A text without characters has null
-    perplexity. Columns of those names in docs give way.
+    trusted has the doc_id of the documents to train on. One in HELD_OUT of them, by a hash of doc_id, is kept from
+    training; all text of the others is used. A text without characters has null perplexity. Columns of those names in
+    docs give way.
     """
     spark = docs.sparkSession
     groups, shards = groups or C.group_count(spark), C.partitions(spark)
-    docs = docs.drop("n_scored", "perplexity", "trusted")
+    docs = docs.drop("n_scored", "perplexity", "trusted", "held_out")
     packed = C.pack(docs, groups)
     table = char_classes()
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
     ids = ids.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("doc_id").alias("ids"))
 
-    def trusted_of(docs_: pa.Table, right: pa.Table) -> np.ndarray:
+    def trusted_of(docs_: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Which documents are trusted, and which of those are held out."""
         known = {i for x in right.column("ids").to_pylist() for i in x} if right.num_rows else set()
-        return np.array([i in known for i in docs_.column("doc_id").to_pylist()], bool)
+        ids = docs_.column("doc_id").to_pylist()
+        use = np.array([i in known for i in ids], bool)
+        return use, use & np.array([zlib.crc32(str(i).encode()) % HELD_OUT == 0 for i in ids], bool)
 
     def distinct_grams(texts: list[bytes]) -> np.ndarray:
         parts = [np.unique(g) for g, _ in grams(texts, table)]
@@ -187,9 +194,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
         if not left.num_rows:
             return sends([])
         g, docs_ = left.column("g")[0].as_py(), unpacked(left)
-        texts, use = texts_of(docs_), trusted_of(docs_, right)
+        texts, (use, held) = texts_of(docs_), trusted_of(docs_, right)
         keys = distinct_grams(texts)
-        k, n = counted([x for x, _ in grams([t for t, u in zip(texts, use) if u], table)])
+        k, n = counted([x for x, _ in grams([t for t, u in zip(texts, use & ~held) if u], table)])
         place, place_k, rows = shard_of(keys, shards), shard_of(k, shards), []
         for s, at in C.bucket_slices(place, place):
             own = np.flatnonzero(place_k == s)
@@ -235,7 +242,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
         p = np.log(p).astype(np.float32)
         return sends([(g, s, compress(p[np.searchsorted(every, a)].tobytes())) for g, a in zip(left.column("sender").to_pylist(), asked)])
 
-    out = docs.drop("text").withColumn("n_scored", F.lit(0).cast("long")).withColumn("perplexity", F.lit(0.0)).withColumn("trusted", F.lit(True)).schema
+    out = T.StructType([*docs.drop("text").schema, T.StructField("n_scored", T.LongType()), T.StructField("perplexity", T.DoubleType()), T.StructField("trusted", T.BooleanType()), T.StructField("held_out", T.BooleanType())])
     arrow = to_arrow_schema(out)
     tagged = "sender int, payload binary, ids array<" + docs.schema["doc_id"].dataType.simpleString() + ">"
 
@@ -257,9 +264,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
             n.append(sizes)
             sums.append(total[ends] - total[ends - sizes])
         n, sums = np.concatenate(n), np.concatenate(sums)
-        known = trusted_of(docs_, names)
+        known, held = trusted_of(docs_, names)
         result = np.exp(-sums / np.maximum(n, 1))
-        docs_ = docs_.drop_columns(["text"]).append_column("n_scored", pa.array(n)).append_column("perplexity", pa.array(result, mask=n == 0)).append_column("trusted", pa.array(known))
+        docs_ = docs_.drop_columns(["text"]).append_column("n_scored", pa.array(n)).append_column("perplexity", pa.array(result, mask=n == 0)).append_column("trusted", pa.array(known)).append_column("held_out", pa.array(held))
         return docs_.cast(arrow)
 
     asked = packed.groupBy("g").cogroup(ids.groupBy("g")).applyInArrow(ask, C.SEND).repartition(shards, "to")
@@ -271,11 +278,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
 
 
 def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.15, doubt: float = 2.5, least: int = 30) -> DataFrame:
-    """All columns of docs but text, and n_scored, perplexity, trusted, bound, limit and kept: one row per row of docs.
+    """All columns of docs but text, and n_scored, perplexity, trusted, held_out, bound, limit and kept: one row per row of docs.
 
     bound is what the perplexity may be at least, perplexity * exp(-doubt / sqrt(n_scored)): few characters tell little.
-    A document is rejected if that is above its language's limit: slack times the quantile of the trusted documents of
-    that language, or of all trusted ones where fewer than `least` have it. The slack pays for the model having seen them.
+    A document is rejected if that is above its language's limit: slack times the quantile of the held-out trusted
+    documents of that language, or of all languages where fewer than `least` are held out (without any, of those trained on).
 
     Null or empty text: no perplexity, kept. Null language: a language of its own. Null doc_id: scored, never trusted.
     Repeated rows are scored alike, and count alike in training. Without trusted text all is kept. Empty table: empty
@@ -283,7 +290,9 @@ def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99
     """
     scored = perplexities(docs.drop("bound", "limit", "kept"), trusted)
     scored = C.cut(scored.withColumn("bound", F.col("perplexity") * F.exp(-doubt / F.sqrt(F.greatest("n_scored", F.lit(1))))))
-    use = scored.where(F.col("trusted") & F.col("bound").isNotNull())
+    use = scored.where(F.col("held_out") & F.col("bound").isNotNull())
+    if not use.head(1):
+        use = scored.where(F.col("trusted") & F.col("bound").isNotNull())
     cut_at = F.percentile_approx("bound", quantile, 10000).alias("q")
     by = use.groupBy("lang").agg(cut_at, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("lang").alias("__lang"), F.col("q").alias("__q"))
     overall = use.agg(cut_at).first()[0]
