@@ -16,7 +16,7 @@ from textquarry.llm.decontamination import decontaminate
 from textquarry.llm.license_scan import Templates, builtin_templates, license_scan, scan
 from textquarry.llm.line_dedup import line_dedup
 from textquarry.llm.mixing import mix_sources
-from textquarry.llm.near_dedup import near_duplicates, probability_jaccard, signatures, weighted
+from textquarry.llm.near_dedup import components, near_duplicates, probability_jaccard, signatures, weighted
 from textquarry.llm.quality_rules import quality_rules
 from textquarry.llm.suffix_dedup import earliest, suffix_dedup
 from textquarry.llm.toxicity import LANGUAGES, Convolution, fit, toxicity
@@ -307,6 +307,19 @@ def test_near_duplicates(docs, rows, none):
     assert near_duplicates(none).collect() == []
 
 
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(a, b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(40)) if a != b]
+    halves, label = [edges[:20], edges[20:] + [(100 + i, 101 + i) for i in range(12)]], None
+    for half in halves:
+        label = components(spark.createDataFrame(half, "a long, b long"), label)
+    expected = {x: x for e in halves[0] + halves[1] for x in e}
+    for _ in expected:
+        for a, b in halves[0] + halves[1]:
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    assert {x.node: x.component for x in label.collect()} == expected
+
+
 def test_probability_jaccard():
     r = np.random.default_rng(0)
     for _ in range(30):

@@ -25,7 +25,6 @@ from .common import mix, pack_sorted, texts_of, unpack_sorted, unpacked
 from .words import Words, batches, shingles
 
 SHINGLE = 5
-DEBUG = False
 MASK = np.uint64((1 << 48) - 1)
 
 
@@ -190,23 +189,29 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.mapInArrow(check, out)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links (a, b) connect each node to, by hooking and pointer jumping."""
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, component): the smallest node that links (a, b) connect each node to, by hooking and pointer jumping.
+
+    known: components from links before, which count as links of each node to its component.
+    """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = C.cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = C.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")).select(F.col("u").alias("node"), F.col("l").alias("component")))
+    if known is not None:
+        both = both.unionByName(known.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Each node is its own neighbour, so one aggregation hooks it to the least label about it.
+    label = C.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("component")).withColumnRenamed("u", "node"))
     while True:
-        near = both.join(label, F.col("u") == F.col("node")).groupBy("v").agg(F.min("component").alias("l"))
-        hooked = label.join(near, F.col("node") == F.col("v"), "left").select("node", "component", F.least("component", F.coalesce("l", "component")).alias("low"))
+        near = both.join(label, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "component", F.lit(None).cast(label.schema["component"].dataType).alias("old"))
+        hooked = near.unionByName(label.withColumn("old", F.col("component"))).groupBy("node").agg(F.min("component").alias("low"), F.max("old").alias("old"))
         up = label.select(F.col("node").alias("p"), F.col("component").alias("top"))
-        jumped = C.cut(hooked.join(up, F.col("low") == F.col("p"), "left").select("node", F.least("low", F.coalesce("top", "low")).alias("next"), "component"))
-        label = jumped.select("node", F.col("next").alias("component"))
-        if not jumped.where("next != component").head(1):
+        jumped = C.cut(hooked.join(up, F.col("low") == F.col("p"), "left").select("node", F.least("low", F.coalesce("top", "low")).alias("component"), "old"))
+        label = jumped.select("node", "component")
+        if not jumped.where("component != old").head(1):
             return label
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 3) -> DataFrame:
-    """doc_id, class_id, class_size: one row per row of docs.
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2) -> DataFrame:
+    """doc_id, class_id: one row per row of docs.
 
     Documents are linked if the probability Jaccard similarity of their 5-word shingles, weighted by occurrence, is at
     least `similarity`; for texts without repeated shingles that is the Jaccard similarity. Classes are the components of
@@ -225,49 +230,35 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     crowded = member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = C.cut(member.join(crowded.select("band", "value"), ["band", "value"], "left_semi"))
     sets = C.cut(shingle_sets(docs, member.select(F.col("rep").alias("doc_id")).distinct()))
-    links = tried = None
-    best = member.select("band", "value", "rep", F.lit(None).cast(member.schema["rep"].dataType).alias("component"))
+    label = None
+    parts = member.withColumn("component", F.col("rep"))
     for k in range(rounds):
-        # A leader for each component of each bucket, by another order each round; the bucket's other components try it.
+        # A leader for each bucket, by another order each round; those of the bucket's other components try it.
         rank = F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep")
-        state = best.withColumn("component", F.coalesce("component", "rep"))
-        lead = state.groupBy("band", "value").agg(F.min(rank).alias("lead"), F.min_by("component", rank).alias("led"), F.max("component").alias("high"), F.min("component").alias("low")).where("high != low")
-        pairs = state.join(lead, ["band", "value"]).where("component != led").select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = C.cut(pairs)
-        if not pairs.head(1):
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        lead = parts.groupBy("band", "value").agg(F.min(rank).alias("lead"), F.min_by("component", rank).alias("led"), F.max("component").alias("high"), F.min("component").alias("low")).where("high != low")
+        pairs = parts.join(lead, ["band", "value"]).where("component != led").select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b")).distinct()
         found = C.cut(verified(pairs, sets, similarity))
-        if __debug__ and DEBUG:
-            print("round", k, pairs.count(), found.count(), member.count())
-        links = found if links is None else links.unionByName(found)
-        best = with_components(member, components(links))
-    if links is not None:
-        # Across the components that still share a bucket, every pair that was not tried.
-        parts = best.withColumn("component", F.coalesce("component", "rep"))
-        mixed = parts.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value")
-        parts = parts.join(mixed, ["band", "value"], "left_semi")
-        other = parts.select("band", "value", F.col("rep").alias("b"), F.col("component").alias("c2"))
-        pairs = parts.select("band", "value", F.col("rep").alias("a"), "component").join(other, ["band", "value"]).where("a > b AND component != c2").select("a", "b").distinct()
-        pairs = C.cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        if __debug__ and DEBUG:
-            print("rest", mixed.count(), pairs.count())
-        if pairs.head(1):
-            links = links.unionByName(C.cut(verified(pairs, sets, similarity)))
+        if not found.head(1):
+            continue
+        label = components(found, label)
+        parts = with_components(member, label)
+    # Across the components that still share a bucket, every pair.
+    mixed = parts.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value")
+    mixed = C.cut(parts.join(mixed, ["band", "value"], "left_semi"))
+    other = mixed.select("band", "value", F.col("rep").alias("b"), F.col("component").alias("c2"))
+    pairs = mixed.join(other, ["band", "value"]).where("rep > b AND component != c2").select(F.col("rep").alias("a"), "b").distinct()
+    found = C.cut(verified(pairs, sets, similarity))
+    if found.head(1):
+        label = components(found, label)
     named = own.select("doc_id", "words").join(texts.select("words", "rep"), "words")
-    if links is not None:
-        named = named.join(components(links), F.col("rep") == F.col("node"), "left").withColumn("class_id", F.coalesce("component", "rep"))
-    else:
-        named = named.withColumn("class_id", F.col("rep"))
-    named = named.select("doc_id", "class_id")
-    size = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).select(F.col("class_id").alias("__c"), "class_size")
-    return named.join(size, F.col("class_id").eqNullSafe(F.col("__c"))).select("doc_id", "class_id", "class_size")
+    if label is None:
+        return named.select("doc_id", F.col("rep").alias("class_id"))
+    return named.join(label, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
 
 
 def with_components(member: DataFrame, label: DataFrame) -> DataFrame:
-    return C.cut(member.join(label, F.col("rep") == F.col("node"), "left").select("band", "value", "rep", "component"))
+    joined = member.join(label, F.col("rep") == F.col("node"), "left")
+    return C.cut(joined.select("band", "value", "rep", F.coalesce("component", "rep").alias("component")))
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
