@@ -123,6 +123,13 @@ def resolve_positions_part(spark, sf_dir):
     return build.resolve_positions(requests, offsets)
 
 
+def resolve_every_position_part(spark, sf_dir):
+    """Every position of the concatenation, sentinels included, however long it is; blocks are small, as every index is asked."""
+    offsets = build.text_offsets(part_texts(spark, sf_dir))
+    requests = offsets.select(F.explode(F.sequence("start", "sentinel")).alias("idx")).select(F.col("idx").alias("request_id"), "idx")
+    return build.resolve_positions(requests, offsets, block=64)
+
+
 def symbol_histogram_dna(spark, sf_dir):
     return build.symbol_histogram(dna(spark, sf_dir), ascii_dna_with_n())
 
@@ -201,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         count_many_dna, locate_many_dna, scan_count_dna, scan_locate_part, locate_many_part, locate_nested_part, count_per_text_part, kmer_counts_dna, total_text_len_dna,
-        text_stats_dna, doc_frequency_dna, zero_hit_queries_dna, cursor_extend_dna, cursor_count_dna, text_offsets_dna, resolve_positions_part, symbol_histogram_dna, c_array_dna,
+        text_stats_dna, doc_frequency_dna, zero_hit_queries_dna, cursor_extend_dna, cursor_count_dna, text_offsets_dna, resolve_positions_part, resolve_every_position_part, symbol_histogram_dna, c_array_dna,
         locate_bytes_benchmark, rank_part, rank_checkpoint_dna, symbol_at_part, sa_bwt_nation, sa_sampled_nation, bwt_borders_nation, lf_mapping_nation, alphabet_presets,
         alphabet_symbols, fold_validate_docs,
     )
@@ -245,6 +252,7 @@ ORACLE = {
     "cursor_count_dna": f"WITH {DNA}, {hits('dna', [b'', b'GT', b'AGT'])} SELECT q.query_id, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY 1",
     "text_offsets_dna": f"WITH {DNA}, o AS (SELECT text_id, length(t) AS n, sum(length(t) + 1) OVER (ORDER BY text_id) AS e FROM dna) SELECT text_id, (e - n - 1)::BIGINT AS start, (e - 1)::BIGINT AS sentinel FROM o",
     "resolve_positions_part": f"WITH {PARTS}, o AS (SELECT text_id, length(t) AS n, sum(length(t) + 1) OVER (ORDER BY text_id) AS e FROM parts), r AS (SELECT unnest(range(0, 20000, 7)) AS idx) SELECT idx::BIGINT AS request_id, text_id, (idx - (e - n - 1))::BIGINT AS position FROM r JOIN o ON idx BETWEEN e - n - 1 AND e - 1",
+    "resolve_every_position_part": f"WITH {PARTS}, o AS (SELECT text_id, length(t) AS n, sum(length(t) + 1) OVER (ORDER BY text_id) AS e FROM parts), r AS (SELECT text_id, e - n - 1 AS start, unnest(range(0, length(t) + 1)) AS position FROM o JOIN parts USING (text_id)) SELECT (start + position)::BIGINT AS request_id, text_id, position::BIGINT AS position FROM r",
     "symbol_histogram_dna": f"WITH {DNA}, c AS (SELECT instr('ACGTN', unnest(string_split(t, ''))) AS symbol FROM dna WHERE t <> '' UNION ALL SELECT 0 FROM dna) SELECT symbol::INTEGER AS symbol, count(*) AS n FROM c GROUP BY 1",
     "c_array_dna": f"WITH {DNA}, c AS (SELECT instr('ACGTN', unnest(string_split(t, ''))) AS symbol FROM dna WHERE t <> '' UNION ALL SELECT 0 FROM dna), h AS (SELECT symbol, count(*) AS n FROM c GROUP BY 1) SELECT symbol::INTEGER AS symbol, coalesce(sum(n) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS smaller FROM h",
     "locate_bytes_benchmark": "WITH h AS (SELECT item_id AS text_id, hex(encode(text)) AS t FROM benchmark), q(query_id, q) AS (VALUES (0::BIGINT, 'C3A9'), (1::BIGINT, '206C6120')) SELECT query_id, text_id, ((p - 1) // 2)::BIGINT AS position FROM (SELECT *, unnest(range(1, length(t), 2)) AS p FROM h, q) WHERE substr(t, p, length(q)) = q",
