@@ -290,6 +290,19 @@ def test_quality_classifier(spark, docs, rows, none):
     assert all(x.kept for x in perplexity.classify_quality(docs, trusted.limit(0)).collect())
 
 
+def test_quality_limit(spark):
+    """The limit is the quantile of enough held-out documents and nothing above it; toxic documents of quality are trusted."""
+    r = random.Random(11)
+    good = [(i, " ".join(r.choices(["river", "stone", "under", "green", "walks", "slowly"], k=60)), "en") for i in range(250)]
+    labels = spark.createDataFrame([(i, int(i < 220), i % 2) for i in range(250)], "doc_id long, quality int, toxic int")
+    trusted = perplexity.trusted_documents(labels)
+    assert sorted(x.doc_id for x in trusted.collect()) == list(range(220))
+    got = perplexity.classify_quality(spark.createDataFrame(good, "doc_id long, text string, lang string"), trusted).collect()
+    held = [x.bound for x in got if x.held_out]
+    assert 30 <= len(held) <= 100 and {x.limit for x in got} == {max(held)}
+    assert all(x.kept == (x.bound <= max(held)) for x in got)
+
+
 def test_near_duplicates(docs, rows, none):
     got = near_duplicates(docs).collect()
     assert len(got) == len(rows)

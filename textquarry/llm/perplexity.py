@@ -281,8 +281,9 @@ def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99
     """All columns of docs but text, and n_scored, perplexity, trusted, held_out, bound, limit and kept: one row per row of docs.
 
     bound is what the perplexity may be at least, perplexity * exp(-doubt / sqrt(n_scored)): few characters tell little.
-    A document is rejected if that is above its language's limit: slack times the quantile of the held-out trusted
-    documents of that language, or of all languages where fewer than `least` are held out (without any, of those trained on).
+    A document is rejected if that is above its language's limit: the quantile of the held-out trusted documents of that
+    language, or of all languages where fewer than `least` are held out. If those are fewer than `least` too, their quantile
+    can't be told, and the limit is slack times it (without any, slack times that of those trained on).
 
     Null or empty text: no perplexity, kept. Null language: a language of its own. Null doc_id: scored, never trusted.
     Repeated rows are scored alike, and count alike in training. Without trusted text all is kept. Empty table: empty
@@ -291,19 +292,24 @@ def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99
     scored = perplexities(docs.drop("bound", "limit", "kept"), trusted)
     scored = C.cut(scored.withColumn("bound", F.col("perplexity") * F.exp(-doubt / F.sqrt(F.greatest("n_scored", F.lit(1))))))
     use = scored.where(F.col("held_out") & F.col("bound").isNotNull())
-    if not use.head(1):
+    held = bool(use.head(1))
+    if not held:
         use = scored.where(F.col("trusted") & F.col("bound").isNotNull())
     cut_at = F.percentile_approx("bound", quantile, 10000).alias("q")
-    by = use.groupBy("lang").agg(cut_at, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("lang").alias("__lang"), F.col("q").alias("__q"))
-    overall = use.agg(cut_at).first()[0]
-    limit = slack * F.coalesce("__q", F.lit(overall).cast("double"))
+    by = use.groupBy("lang").agg(cut_at, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("lang").alias("__lang"), ((1.0 if held else slack) * F.col("q")).alias("__q"))
+    overall, n = use.agg(cut_at, F.count(F.lit(1))).first()
+    if not held or n < least:
+        overall = overall and slack * overall
+    limit = F.coalesce("__q", F.lit(overall).cast("double"))
     joined = scored.join(by, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("limit", limit).drop("__lang", "__q")
     return joined.withColumn("kept", F.coalesce(F.col("bound") <= F.col("limit"), F.lit(True)))
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
-    """doc_id of the documents labelled as good and not toxic."""
-    return labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id")
+    """doc_id of the documents labelled as good. Toxic ones are among them: a limit without slack would reject half of
+    them for words that the model hasn't seen, and they are judged by op5.
+    """
+    return labels.where("quality = 1").select("doc_id")
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
