@@ -204,13 +204,22 @@ def fold_validate_docs(spark, sf_dir):
     return texts.select("text_id", amino.valid(F.col("text")).alias("valid"), folded.alias("folded"), amino.encode(F.ascii(F.decode("text", "ISO-8859-1")), checked=False).alias("first_dense"))
 
 
+def fold_validate_documents(spark, sf_dir):
+    """Every document, whole: whether it is in the alphabet of amino acids or printable, and folded to bases."""
+    texts = table_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    amino = PRESETS["ascii_amino_acid"]()
+    folded = F.decode(ascii_dna_with_n().fold(F.col("text"), "drop"), "ISO-8859-1")
+    first = amino.encode(F.ascii(F.decode("text", "ISO-8859-1")), checked=False)
+    return texts.select("text_id", amino.valid(F.col("text")).alias("valid"), ascii_printable().valid(F.col("text")).alias("printable"), folded.alias("folded"), first.alias("first_dense"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         count_many_dna, locate_many_dna, scan_count_dna, scan_locate_part, locate_many_part, locate_nested_part, count_per_text_part, kmer_counts_dna, total_text_len_dna,
         text_stats_dna, doc_frequency_dna, zero_hit_queries_dna, cursor_extend_dna, cursor_count_dna, text_offsets_dna, resolve_positions_part, resolve_every_position_part, symbol_histogram_dna, c_array_dna,
         locate_bytes_benchmark, rank_part, rank_checkpoint_dna, symbol_at_part, sa_bwt_nation, sa_sampled_nation, bwt_borders_nation, lf_mapping_nation, alphabet_presets,
-        alphabet_symbols, fold_validate_docs,
+        alphabet_symbols, fold_validate_docs, fold_validate_documents,
     )
 }
 
@@ -266,4 +275,5 @@ ORACLE = {
     "alphabet_presets": "SELECT * FROM (VALUES ('ascii_dna', 5, 4), ('ascii_dna_with_n', 6, 4), ('ascii_dna_iupac', 16, 15), ('ascii_dna_iupac_as_dna_with_n', 6, 4), ('ascii_amino_acid', 23, 22), ('ascii_amino_acid_iupac', 28, 27), ('ascii_printable', 96, 95), ('u8_until_8', 10, 9), ('u8_until_254', 256, 255)) AS t(name, dense, searchable)",
     "alphabet_symbols": "SELECT * FROM (VALUES (65, 1, 65, true), (97, 1, 65, true), (67, 2, 67, true), (99, 2, 67, true), (71, 3, 71, true), (103, 3, 71, true), (84, 4, 84, true), (116, 4, 84, true)) AS t(io, dense, canonical_io, searchable)",
     "fold_validate_docs": "SELECT n_nationkey::BIGINT AS text_id, NOT regexp_matches(n_name, '[^ACDEFGHIKLMNOPQRSTUVWYacdefghiklmnopqrstuvwy]') AS valid, upper(regexp_replace(n_name, '[^ACGTNacgtn]', '', 'g')) AS folded, nullif(instr('ACDEFGHIKLMNOPQRSTUVWY', upper(substr(n_name, 1, 1))), 0)::INTEGER AS first_dense FROM nation",
+    "fold_validate_documents": "SELECT doc_id::BIGINT AS text_id, NOT regexp_matches(text, '[^ACDEFGHIKLMNOPQRSTUVWYacdefghiklmnopqrstuvwy]') AS valid, NOT regexp_matches(text, '[^ -~]') AS printable, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS folded, CASE WHEN text <> '' THEN nullif(instr('AaCcDdEeFfGgHhIiKkLlMmNnOoPpQqRrSsTtUuVvWwYy', substr(text, 1, 1)) + 1, 1) // 2 END::INTEGER AS first_dense FROM documents",
 }
