@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -7,7 +8,7 @@ from textquarry.operators import build
 from textquarry.operators.cursor import extend_hits
 from textquarry.operators.index import build_index, require_texts
 from textquarry.operators.scan import naive_hits, scan_count, scan_locate
-from textquarry.plans.config import IndexConfig
+from textquarry.plans.config import IndexConfig, PerformancePriority
 from textquarry.sources.readers import fasta_texts, literal_texts
 from textquarry.sources.store import load_index, save_index
 from textquarry.streaming.locate import locate_stream
@@ -109,13 +110,67 @@ def test_store(spark, tmp_path):
     patterns = [b"AC", b"GTN", b"", b"T"]
     assert hits(saved, patterns) == hits(index, patterns)
     assert (saved.alphabet, saved.k, saved.num_texts()) == (index.alphabet, index.k, 3)
+    assert {x.query_id: x.n for x in saved.count_many(saved.queries(patterns)).collect()} == {i: len(x) for i, x in hits(index, patterns).items()}
     spark.createDataFrame([('{"format_version": 99}',)], "value string").write.mode("overwrite").text(str(tmp_path / "index/manifest"))
     with pytest.raises(ValueError, match="format"):
         load_index(spark, str(tmp_path / "index"))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_saved_against_naive(spark, tmp_path, seed):
+    r = random.Random(seed)
+    texts = [bytes(r.choices(b"ACGT", k=r.choice([0, 3, 60, 700]))) for _ in range(4)] + [b"A" * 300]
+    patterns = [bytes(r.choices(b"ACGT", k=r.randint(0, 9))) for _ in range(10)] + [b"A" * n for n in (1, 4, 9, 40)]
+    patterns += [t[s : s + r.randint(5, 60)] for t in texts for s in [r.randint(0, len(t))]]
+    config = IndexConfig(lookup_table_depth=r.randint(2, 5), priority=r.choice(list(PerformancePriority)), index_width=r.choice([32, 64]))
+    saved = save_index(build_index(literal_texts(spark, texts), ascii_dna(), config), str(tmp_path / "index"))
+    assert saved.config == config
+    expected = {i: naive_hits(dict(enumerate(texts)), p) for i, p in enumerate(patterns)}
+    assert hits(saved, patterns) == expected
+    assert {x.query_id: x.n for x in saved.count_many(saved.queries(patterns)).collect()} == {i: len(x) for i, x in expected.items()}
+
+
+def test_plans_of_a_saved_index(spark, tmp_path, capsys, monkeypatch):
+    """Postings are read by slice and gram, seeds are broadcast, and no text is read; many seeds still give the same hits."""
+    r = random.Random(5)
+    texts = [bytes(r.choices(b"ACGT", k=2000)) for _ in range(5)]
+    saved = save_index(build_index(literal_texts(spark, texts), ascii_dna(), IndexConfig(lookup_table_depth=6)), str(tmp_path / "index"))
+    patterns = [texts[0][7:13], texts[1][100:150], texts[2][5:22]]
+    found = saved.locate_many(saved.queries(patterns))
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    scans = [x for x in plan.split("\n\n") if "Scan parquet" in x and "Batched" in x]
+    assert scans and all("postings" in x for x in scans)
+    for x in scans:
+        assert re.search(r"PartitionFilters: \[.*slice#\d+ (IN|INSET) \(?s", x)
+        assert "gram" in x.split("PushedFilters:")[1].split("\n")[0].replace("IsNotNull(gram)", "")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+    expected = hits(saved, patterns)
+    monkeypatch.setattr("textquarry.operators.index.BROADCAST_ROWS", 2)
+    assert hits(saved, patterns) == expected
+
+
+def test_cursors(spark, tmp_path):
+    texts = [b"AaACGT", b"AacGtn", b"GTGTGT"]
+    index = build_index(literal_texts(spark, texts), ascii_dna_with_n(), IndexConfig(lookup_table_depth=3))
+    for own in (index, save_index(index, str(tmp_path / "index"))):
+        first = own.cursors_for_many_queries(own.queries([b"GT", b"", b"NN"]))
+        n = lambda c: {r.query_id: r.n for r in c.count().collect()}
+        assert n(first) == {0: 5, 1: 21, 2: 0}
+        lazy = first.extend_query_front(ord("c"))
+        first.locate()
+        longer = first.extend_query_front(ord("c"))
+        assert n(longer) == n(lazy) == {0: 2, 1: 2, 2: 0} and n(first) == {0: 5, 1: 21, 2: 0}
+        fronts = spark.createDataFrame([(0, ord("A")), (1, ord("a")), (2, ord("n"))], "query_id long, symbol int")
+        assert n(longer.extend_query_front(fronts)) == {0: 2, 1: 2, 2: 0}
+        assert {tuple(h) for h in longer.locate().collect() if h.query_id == 0} == {(0, 0, 3), (0, 1, 2)}
+        one = own.cursor_for_query(b"GT").searched()
+        assert (one.count(), one.extended_by(b"aC").count(), own.cursor_for_dense_query([2, 3, 4]).count()) == (5, 2, 2)
+        assert {tuple(h) for h in one.extend_query_front(ord("C")).locate().collect()} == {(0, 3), (1, 2)}
+
+
 def test_fasta(spark, tmp_path):
-    (tmp_path / "x.fa").write_text(">one first\nACGT\nAC\n>two\n\nGG\n")
+    (tmp_path / "x.fa").write_bytes(b">one first\r\nACGT\r\nAC\n>two\n\nGG\n")
     assert {(r.name, bytes(r.text)) for r in fasta_texts(spark, str(tmp_path / "x.fa")).collect()} == {("one first", b"ACGTAC"), ("two", b"GG")}
 
 

@@ -32,9 +32,31 @@ def positions(texts: DataFrame, reach: int, chunk: int, end: bool = True) -> Dat
     return pieces.select("text_id", "base", "piece", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i")).select("text_id", (F.col("base") + F.col("i")).cast("long").alias("position"), "base", "piece", "i")
 
 
-def postings(texts: DataFrame, k: int, chunk: int = 1 << 16) -> DataFrame:
-    """(text_id, position, gram): the k bytes from each position on, fewer at a text's end and none after it."""
-    return positions(texts, k, chunk).select("text_id", "position", at(F.col("piece"), F.col("i"), k).alias("gram"))
+def postings(texts: DataFrame, k: int, chunk: int = 1 << 16, width: int = 64) -> DataFrame:
+    """(text_id, position, gram): the k bytes from each position on, fewer at a text's end and none after it.
+
+    Positions of 32 bits hold any text that a binary column can; they are narrowed by a checked cast.
+    """
+    position = F.col("position") if width == 64 else narrowed(F.col("position"))
+    return positions(texts, k, chunk).select("text_id", position.alias("position"), at(F.col("piece"), F.col("i"), k).alias("gram"))
+
+
+def narrowed(position: Column) -> Column:
+    """A 64-bit position as 32 bits; one that doesn't fit is an error."""
+    wide = F.raise_error(F.lit("a position doesn't fit 32 bits")).cast("int")
+    return F.when(position.between(-(1 << 31), (1 << 31) - 1), position.cast("int")).otherwise(wide)
+
+
+def slice_bytes(alphabet: Alphabet, k: int) -> int:
+    """How many first bytes of a gram name its slice: about a hundred slices, or one for each first byte."""
+    size, symbols = 1, alphabet.num_dense_symbols
+    while size < k and symbols ** (size + 1) <= 256:
+        size += 1
+    return size
+
+
+def slice_column(gram: Column, size: int) -> Column:
+    return F.concat(F.lit("s"), F.hex(F.substring(gram, F.lit(1), F.lit(size))))
 
 
 def gram_counts(posts: DataFrame) -> DataFrame:

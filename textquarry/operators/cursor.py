@@ -8,32 +8,87 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .build import at
 
 if TYPE_CHECKING:
     from .index import TextIndex
 
 
+class Cursors:
+    """Many cursors at once: (query_id, q) and their hits, found together when they are asked for and then kept.
+
+    Immutable, so branching a search is keeping the old one. Extending narrows the hits that are known, without a search
+    from scratch. The kept hits are written to the checkpoint folder.
+    """
+
+    def __init__(self, index: TextIndex, folded: DataFrame, hits: DataFrame | None = None):
+        self.index, self.folded, self._hits = index, folded, hits
+
+    def queries(self) -> DataFrame:
+        return self.folded.select("query_id", F.col("q").alias("query"))
+
+    def locate(self) -> DataFrame:
+        """(query_id, text_id, position) of all cursors."""
+        if self._hits is None:
+            self._hits = cut(self.index.locate_many(self.queries()))
+        return self._hits
+
+    def count(self) -> DataFrame:
+        """(query_id, n) of all cursors, 0 included."""
+        if self._hits is None:
+            return self.index.count_many(self.queries())
+        n = self._hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        return self.folded.select("query_id").join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def extend_query_front(self, symbol: int | DataFrame) -> Cursors:
+        """Each query with a symbol before it: one for all, or those of (query_id, symbol).
+
+        A hit stays, moved by one, if the symbol stands before it: if the first k bytes of the longer query are there.
+        """
+        if isinstance(symbol, int):
+            io = bytes([self.index.alphabet.dense_to_io(self.index.alphabet.io_to_dense(symbol))])
+            folded = self.folded.select("query_id", F.concat(F.lit(io), "q").alias("q"))
+        else:
+            front = symbol.select("query_id", self.index.alphabet.fold(F.unhex(F.lpad(F.hex("symbol"), 2, "0"))).alias("front"))
+            folded = self.folded.join(front, "query_id").select("query_id", F.concat("front", "q").alias("q"))
+        if self._hits is None:
+            return Cursors(self.index, folded)
+        near = folded.select("query_id", at(F.col("q"), F.lit(0), self.index.k).alias("query"))
+        moved = self._hits.select("query_id", "text_id", (F.col("position") - 1).alias("position")).where("position >= 0")
+        return Cursors(self.index, folded, cut(moved.join(self.index.locate_many(near), ["query_id", "text_id", "position"])))
+
+
 @dataclass(frozen=True)
 class Cursor:
-    """The hits of a query, found when they are asked for. Immutable, so branching a search is keeping the old one."""
+    """One cursor: its query, and `many`, the hits as Cursors with one row. Immutable, like those."""
 
     index: TextIndex
     query: bytes
+    many: Cursors | None = None
 
     def extended_by(self, front: bytes) -> Cursor:
         """The cursor of front + query. Bytes outside the alphabet are an error, whether or not there are hits."""
         canonical = bytes(self.index.alphabet.dense_to_io(self.index.alphabet.io_to_dense(b)) for b in front)
-        return Cursor(self.index, canonical + self.query)
+        many = self.many
+        for b in reversed(canonical):
+            many = many and many.extend_query_front(b)
+        return Cursor(self.index, canonical + self.query, many)
 
     def extend_query_front(self, symbol: int) -> Cursor:
         return self.extended_by(bytes([symbol]))
 
+    def searched(self) -> Cursor:
+        """This cursor with its hits found and kept, so that extending it narrows them."""
+        many = self.many or self.index.cursors_for_many_queries(self.index.queries([self.query]))
+        many.locate()
+        return Cursor(self.index, self.query, many)
+
     def count(self) -> int:
-        return self.index.count(self.query)
+        return self.many.count().first()["n"] if self.many else self.index.count(self.query)
 
     def locate(self) -> DataFrame:
-        return self.index.locate(self.query)
+        return self.many.locate().select("text_id", "position") if self.many else self.index.locate(self.query)
 
 
 def extend_hits(hits: DataFrame, texts: DataFrame, symbol: int) -> DataFrame:

@@ -5,16 +5,27 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that all executors share; spark.checkpoint.dir names it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: what spark.checkpoint.dir names, or else the context's own.
 
-    Only where neither the session nor the context has one (tests), a temporary folder is set.
+    Without either, one of this machine serves where Spark runs inside one process, as in tests; on a cluster it is an
+    error, as such a folder would lose what it holds with its machine.
     """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "textquarry-checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "textquarry-checkpoints")
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

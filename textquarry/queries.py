@@ -5,14 +5,21 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.alphabet import PRESETS, ascii_dna, ascii_dna_with_n, ascii_printable, u8_until
+from .functions import bits
+from .functions.alphabet import PRESETS, Alphabet, ascii_dna, ascii_dna_with_n, ascii_printable, u8_until
 from .operators import build, cursor, rank, scan, suffixes
 from .operators.index import TextIndex, build_index
-from .plans.config import IndexConfig
+from .plans.config import IndexConfig, PerformancePriority
+from .plans.lineage import shared_folder
 from .sources.readers import table_texts
+from .sources.store import load_index, save_index
 
 SHORT = [b"ACG", b"A", b"TACG", b"NN", b"GG", b"CAT", b"ACG"]
 MIXED = [b"AC", b"ACG", b"TTT", b"ACGT", b"TACGA", b"NATAN", b"ATATATATA", b"GGGGGGGGG"]
@@ -118,12 +125,6 @@ def text_offsets_dna(spark, sf_dir):
 
 
 def resolve_positions_part(spark, sf_dir):
-    offsets = build.text_offsets(part_texts(spark, sf_dir))
-    requests = spark.range(0, 20000, 7).select(F.col("id").alias("request_id"), F.col("id").alias("idx"))
-    return build.resolve_positions(requests, offsets)
-
-
-def resolve_every_position_part(spark, sf_dir):
     """Every position of the concatenation, sentinels included, however long it is; blocks are small, as every index is asked."""
     offsets = build.text_offsets(part_texts(spark, sf_dir))
     requests = offsets.select(F.explode(F.sequence("start", "sentinel")).alias("idx")).select(F.col("idx").alias("request_id"), "idx")
@@ -150,29 +151,74 @@ def dense_part(spark, sf_dir) -> DataFrame:
     return part_texts(spark, sf_dir)
 
 
+def asked_everywhere(texts: DataFrame, symbols: str) -> DataFrame:
+    """(request_id, text_id, idx, symbol): the rank of each symbol at each place of each text and at its end."""
+    asked = texts.select("text_id", F.posexplode(F.sequence(F.lit(0), F.length("t"))).alias("idx", "_")).select("text_id", F.col("idx").cast("long").alias("idx"), F.explode(F.array(*[F.lit(ord(c)) for c in symbols])).alias("symbol"))
+    # A request is named by what it asks.
+    return asked.withColumn("request_id", F.struct("text_id", "idx", "symbol"))
+
+
 def rank_part(spark, sf_dir):
     t = rank.rank_table(dense_part(spark, sf_dir), 128, block=4)
-    asked = dense_part(spark, sf_dir).select("text_id", F.explode(F.sequence(F.lit(0), F.length("t"))).alias("idx")).select("text_id", "idx", F.explode(F.array(F.lit(ord("a")), F.lit(ord("1")))).alias("symbol"))
-    asked = asked.select(((F.col("text_id") * 64 + F.col("idx")) * 256 + F.col("symbol")).alias("request_id"), "text_id", F.col("idx").cast("long").alias("idx"), "symbol")
-    return t.rank_many(asked)
+    return t.rank_many(asked_everywhere(dense_part(spark, sf_dir), "a1")).select("request_id.*", "rank")
 
 
 def rank_checkpoint_dna(spark, sf_dir):
+    """Every base at every place of every text: summed by text, as there are millions."""
     texts = dna(spark, sf_dir)
     t = rank.rank_table(texts, 128, block=64)
-    asked = texts.select("text_id", F.explode(F.sequence(F.lit(0), F.length("t"), F.lit(37))).alias("idx")).select("text_id", "idx", F.explode(F.array(F.lit(65), F.lit(84))).alias("symbol"))
-    asked = asked.select(((F.col("text_id") * 1000000 + F.col("idx")) * 256 + F.col("symbol")).alias("request_id"), "text_id", F.col("idx").cast("long").alias("idx"), "symbol")
-    return t.rank_many(asked)
+    ranks = t.rank_many(asked_everywhere(texts, "ACGTN")).select("request_id.*", "rank")
+    weighted = F.sum(F.col("rank") * (F.col("idx") % 97 + 1))
+    return ranks.groupBy("text_id", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("total"), F.max("rank").alias("last"), weighted.alias("weighted"))
 
 
 def symbol_at_part(spark, sf_dir):
     t = rank.rank_table(dense_part(spark, sf_dir), 128, block=4)
-    asked = dense_part(spark, sf_dir).where("length(t) > 5").select(F.col("text_id").alias("request_id"), "text_id", F.lit(5).cast("long").alias("idx"))
-    return t.symbol_at_many(asked)
+    asked = dense_part(spark, sf_dir).where("length(t) > 0").select("text_id", F.posexplode(F.sequence(F.lit(1), F.length("t"))).alias("idx", "_"))
+    asked = asked.select(F.struct("text_id", F.col("idx").cast("long").alias("idx")).alias("request_id"), "text_id", F.col("idx").cast("long").alias("idx"))
+    return t.symbol_at_many(asked).select("request_id.*", "symbol")
+
+
+def rank_shape_part(spark, sf_dir):
+    """Text lengths and alphabet size as the rank structure knows them."""
+    t = rank.rank_table(dense_part(spark, sf_dir), 128, block=4)
+    return t.lengths().select("text_id", "text_len", F.lit(t.alphabet_size).alias("alphabet_size"))
+
+
+def part_views(spark, sf_dir, rate: int = 4) -> suffixes.SuffixViews:
+    texts = table_texts(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+    return suffixes.build_views(texts, ascii_printable(), IndexConfig(suffix_array_sampling_rate=rate, index_width=32))
+
+
+def sa_bwt_part(spark, sf_dir):
+    """Suffix array and transform by prefix doubling."""
+    return part_views(spark, sf_dir).sa
+
+
+def sa_sampled_part(spark, sf_dir):
+    """Thinned by the rate of the configuration, with positions of 32 bits."""
+    return part_views(spark, sf_dir, 3).sampled
+
+
+def bwt_borders_part(spark, sf_dir):
+    return part_views(spark, sf_dir).borders
+
+
+def lf_mapping_part(spark, sf_dir):
+    return part_views(spark, sf_dir).lf
+
+
+def bwt_rank_part(spark, sf_dir):
+    """Occurrences of each symbol in the whole transform, by the rank structure over its blocks."""
+    ranks = part_views(spark, sf_dir).ranks
+    ends = ranks.lengths().select("text_id", F.col("text_len").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(95))).alias("symbol"))
+    counted = ranks.rank_many(ends.withColumn("request_id", F.struct("text_id", "symbol")))
+    return counted.groupBy(F.col("request_id.symbol").alias("symbol")).agg(F.sum("rank").alias("n"))
 
 
 def sa_bwt_nation(spark, sf_dir):
-    return suffixes.suffix_array(nation_texts(spark, sf_dir), ascii_printable())
+    """The same views of a few names, by sorting whole suffixes."""
+    return suffixes.suffix_array(nation_texts(spark, sf_dir), ascii_printable(), PerformancePriority.HIGH_SPEED)
 
 
 def sa_sampled_nation(spark, sf_dir):
@@ -187,6 +233,95 @@ def lf_mapping_nation(spark, sf_dir):
     return suffixes.lf_mapping(sa_bwt_nation(spark, sf_dir))
 
 
+def saved(spark, index: TextIndex) -> TextIndex:
+    """The index written to a folder of its own and loaded from there."""
+    path = os.path.join(shared_folder(spark), f"index-{uuid.uuid4().hex}")
+    save_index(index, path)
+    return load_index(spark, path)
+
+
+def count_many_saved(spark, sf_dir):
+    """Through save and load: patterns below, at and above the gram length."""
+    index = saved(spark, dna_index(spark, sf_dir))
+    return index.count_many(index.queries(SHORT + MIXED))
+
+
+def locate_many_saved(spark, sf_dir):
+    index = saved(spark, dna_index(spark, sf_dir))
+    return index.locate_many(index.queries(MIXED))
+
+
+def index_facts_part(spark, sf_dir):
+    """What a loaded index says of itself: size, alphabet, gram length and options."""
+    index = saved(spark, build_index(table_texts(table(spark, sf_dir, "part"), "p_partkey", "p_name"), ascii_printable(), IndexConfig(8, 3, PerformancePriority.LOW_MEMORY, index_width=32)))
+    same = index.alphabet == ascii_printable() and index.alphabet is not None
+    facts = [
+        ("num_texts", index.num_texts()), ("total_text_len", index.total_text_len()), ("gram_length", index.k), ("sampling_rate", index.config.suffix_array_sampling_rate),
+        ("index_width", index.config.index_width), ("low_memory", int(index.config.priority is PerformancePriority.LOW_MEMORY)), ("same_alphabet", int(same)),
+        ("dense_symbols", index.alphabet.num_dense_symbols), ("has_sentinel", int(index.alphabet.contains_sentinel())), ("clone_is_equal", int(replace(index) == index)),
+    ]
+    return spark.createDataFrame([(n, int(v)) for n, v in facts], "fact string, value long")
+
+
+def cursors_many_dna(spark, sf_dir):
+    """Cursors of many queries, searched together in a saved index, then each extended by a symbol of its own; counts after each step."""
+    index = saved(spark, dna_index(spark, sf_dir))
+    first = index.cursors_for_many_queries(index.queries([b"ACG", b"GT", b"TTA", b"", b"GGGG"]))
+    first.locate()
+    fronts = spark.createDataFrame([(0, ord("T")), (1, ord("a")), (2, ord("N")), (3, ord("c")), (4, ord("G"))], "query_id long, symbol int")
+    second = first.extend_query_front(fronts)
+    third = second.extend_query_front(ord("A"))
+    steps = [x.count().select(F.lit(i).cast("long").alias("step"), "query_id", "n") for i, x in enumerate((first, second, third))]
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
+def cursor_methods_dna(spark, sf_dir):
+    """Count and locate of single cursors: searched, extended, copied, and given in dense symbols."""
+    index = dna_index(spark, sf_dir)
+    gt = index.cursor_for_query(b"GT").searched()
+    agt, dense = gt.extend_query_front(ord("a")), index.cursor_for_dense_query([3, 4])
+    rows = [("empty", index.cursor_empty().count()), ("gt", gt.count()), ("agt", agt.count()), ("copy", replace(gt).count()), ("dense", dense.count()), ("located", agt.locate().count())]
+    return spark.createDataFrame(rows, "name string, n long")
+
+
+def alphabet_codec_documents(spark, sf_dir):
+    """Bytes of every document through encode and decode: dense symbols, canonical bytes and those outside the alphabet."""
+    amino = PRESETS["ascii_amino_acid"]()
+    seen = build.positions(table_texts(table(spark, sf_dir, "documents"), "doc_id", "text").select("text_id", F.col("text").alias("t")), 1, 1 << 16, end=False)
+    seen = seen.groupBy(build.at(F.col("piece"), F.col("i"), 1).alias("b")).agg(F.count(F.lit(1)).alias("n")).select(F.conv(F.hex("b"), 16, 10).cast("int").alias("byte"), "n")
+    dense = amino.encode(F.col("byte"), checked=False)
+    return seen.select("byte", "n", dense.alias("dense"), amino.decode(dense, checked=False).alias("canonical"), amino.decode(amino.encode(F.when(dense.isNotNull(), F.col("byte")))).alias("checked"))
+
+
+def alphabet_validation(spark, sf_dir):
+    """Which sets of groups an alphabet refuses."""
+    tried = {"no group": ([], 0), "empty group": ([b"A", b""], 0), "byte twice": ([b"Aa", b"a"], 0), "nothing searchable": ([b"A", b"C"], 2), "256 groups": ([bytes([i]) for i in range(256)], 0), "255 groups": ([bytes([i]) for i in range(255)], 0)}
+
+    def accepted(groups, n) -> bool:
+        try:
+            return bool(Alphabet.from_ambiguous_io_symbols(groups, n))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(n, accepted(*x)) for n, x in tried.items()], "groups string, accepted boolean")
+
+
+def nibbles_dna(spark, sf_dir):
+    """Dense symbols of every text packed two to a byte, unpacked again, read by place and scanned for a symbol."""
+    t = dna(spark, sf_dir).select("text_id", suffixes.dense_text(ascii_dna_with_n()).alias("d"))
+    packed = t.withColumn("p", bits.pack_nibbles(F.col("d")))
+    back = bits.unpack_nibbles(F.col("p"), F.length("d"))
+    return packed.select("text_id", F.hex("p").alias("packed"), (back == F.col("d")).alias("same"), bits.nibble_at(F.col("p"), F.lit(0)).alias("first"), F.size(bits.zero_places(F.col("p"))).cast("long").alias("zeros"))
+
+
+def bits_lineitem(spark, sf_dir):
+    """Popcount, popcount before a bit, the bits that a number needs, and an integer power, of every order."""
+    x = F.col("l_orderkey") * 2654435761 + F.col("l_partkey")
+    n = (F.col("l_linenumber") * 9).cast("int")
+    power = bits.integer_power(F.lit(3), F.col("l_linenumber") * 2)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bits.popcount(x).alias("ones"), bits.popcount_before(x, n).alias("ones_before"), bits.ceil_log2(F.col("l_partkey")).alias("width"), power.alias("power"))
+
+
 def alphabet_presets(spark, sf_dir):
     rows = [(n, a.num_dense_symbols, a.num_searchable_dense_symbols) for n, a in [(n, f()) for n, f in PRESETS.items()] + [("u8_until_8", u8_until(8)), ("u8_until_254", u8_until(254))]]
     return spark.createDataFrame(rows, "name string, dense int, searchable int")
@@ -197,14 +332,6 @@ def alphabet_symbols(spark, sf_dir):
 
 
 def fold_validate_docs(spark, sf_dir):
-    """Names that are in the alphabet of amino acids, and texts folded to bases."""
-    texts = table_texts(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
-    amino = PRESETS["ascii_amino_acid"]()
-    folded = F.decode(ascii_dna_with_n().fold(F.col("text"), "drop"), "ISO-8859-1")
-    return texts.select("text_id", amino.valid(F.col("text")).alias("valid"), folded.alias("folded"), amino.encode(F.ascii(F.decode("text", "ISO-8859-1")), checked=False).alias("first_dense"))
-
-
-def fold_validate_documents(spark, sf_dir):
     """Every document, whole: whether it is in the alphabet of amino acids or printable, and folded to bases."""
     texts = table_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
     amino = PRESETS["ascii_amino_acid"]()
@@ -216,10 +343,11 @@ def fold_validate_documents(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        count_many_dna, locate_many_dna, scan_count_dna, scan_locate_part, locate_many_part, locate_nested_part, count_per_text_part, kmer_counts_dna, total_text_len_dna,
-        text_stats_dna, doc_frequency_dna, zero_hit_queries_dna, cursor_extend_dna, cursor_count_dna, text_offsets_dna, resolve_positions_part, resolve_every_position_part, symbol_histogram_dna, c_array_dna,
-        locate_bytes_benchmark, rank_part, rank_checkpoint_dna, symbol_at_part, sa_bwt_nation, sa_sampled_nation, bwt_borders_nation, lf_mapping_nation, alphabet_presets,
-        alphabet_symbols, fold_validate_docs, fold_validate_documents,
+        count_many_dna, locate_many_dna, count_many_saved, locate_many_saved, index_facts_part, scan_count_dna, scan_locate_part, locate_many_part, locate_nested_part, count_per_text_part,
+        kmer_counts_dna, total_text_len_dna, text_stats_dna, doc_frequency_dna, zero_hit_queries_dna, cursor_extend_dna, cursor_count_dna, cursors_many_dna, cursor_methods_dna, text_offsets_dna,
+        resolve_positions_part, symbol_histogram_dna, c_array_dna, locate_bytes_benchmark, rank_part, rank_checkpoint_dna, symbol_at_part, rank_shape_part, sa_bwt_part, sa_sampled_part,
+        bwt_borders_part, lf_mapping_part, bwt_rank_part, sa_bwt_nation, sa_sampled_nation, bwt_borders_nation, lf_mapping_nation, alphabet_presets, alphabet_symbols, alphabet_codec_documents,
+        alphabet_validation, nibbles_dna, bits_lineitem, fold_validate_docs,
     )
 }
 
@@ -239,11 +367,18 @@ def hits(source: str, queries) -> str:
   WHERE substr(t, p, length(q)) = q)"""
 
 
-SA = """s AS (SELECT n_nationkey AS text_id, n_name AS t FROM nation), r AS (
+def sa_sql(texts: str) -> str:
+    return f"""s AS ({texts}), r AS (
   SELECT text_id, t, unnest(range(0, length(t) + 1)) AS position FROM s), o AS (
   SELECT (row_number() OVER (ORDER BY encode(substr(t, position + 1)), text_id) - 1)::BIGINT AS sa_row, text_id::BIGINT AS text_id, position::BIGINT AS position,
          CASE WHEN position = 0 THEN 0 ELSE ascii(substr(t, position, 1)) - 31 END::INTEGER AS symbol FROM r)"""
 
+
+SA = sa_sql("SELECT n_nationkey AS text_id, n_name AS t FROM nation")
+SA_PART = sa_sql("SELECT p_partkey AS text_id, p_name AS t FROM part")
+CURSORS = [[b"ACG", b"GT", b"TTA", b"", b"GGGG"], [b"TACG", b"AGT", b"NTTA", b"C", b"GGGGG"], [b"ATACG", b"AAGT", b"ANTTA", b"AC", b"AGGGGG"]]
+AMINO = "AaCcDdEeFfGgHhIiKkLlMmNnOoPpQqRrSsTtUuVvWwYy"
+
 ORACLE = {
     "count_many_dna": f"WITH {DNA}, {hits('dna', SHORT + MIXED)} SELECT q.query_id, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY 1",
     "scan_count_dna": f"WITH {DNA}, {hits('dna', SHORT + MIXED)} SELECT q.query_id, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY 1",
@@ -260,20 +395,41 @@ ORACLE = {
     "cursor_extend_dna": f"WITH {DNA}, {hits('dna', [b'TACG'])} SELECT * FROM hit",
     "cursor_count_dna": f"WITH {DNA}, {hits('dna', [b'', b'GT', b'AGT'])} SELECT q.query_id, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY 1",
     "text_offsets_dna": f"WITH {DNA}, o AS (SELECT text_id, length(t) AS n, sum(length(t) + 1) OVER (ORDER BY text_id) AS e FROM dna) SELECT text_id, (e - n - 1)::BIGINT AS start, (e - 1)::BIGINT AS sentinel FROM o",
-    "resolve_positions_part": f"WITH {PARTS}, o AS (SELECT text_id, length(t) AS n, sum(length(t) + 1) OVER (ORDER BY text_id) AS e FROM parts), r AS (SELECT unnest(range(0, 20000, 7)) AS idx) SELECT idx::BIGINT AS request_id, text_id, (idx - (e - n - 1))::BIGINT AS position FROM r JOIN o ON idx BETWEEN e - n - 1 AND e - 1",
-    "resolve_every_position_part": f"WITH {PARTS}, o AS (SELECT text_id, length(t) AS n, sum(length(t) + 1) OVER (ORDER BY text_id) AS e FROM parts), r AS (SELECT text_id, e - n - 1 AS start, unnest(range(0, length(t) + 1)) AS position FROM o JOIN parts USING (text_id)) SELECT (start + position)::BIGINT AS request_id, text_id, position::BIGINT AS position FROM r",
+    "resolve_positions_part": f"WITH {PARTS}, o AS (SELECT text_id, length(t) AS n, sum(length(t) + 1) OVER (ORDER BY text_id) AS e FROM parts), r AS (SELECT text_id, e - n - 1 AS start, unnest(range(0, length(t) + 1)) AS position FROM o JOIN parts USING (text_id)) SELECT (start + position)::BIGINT AS request_id, text_id, position::BIGINT AS position FROM r",
     "symbol_histogram_dna": f"WITH {DNA}, c AS (SELECT instr('ACGTN', unnest(string_split(t, ''))) AS symbol FROM dna WHERE t <> '' UNION ALL SELECT 0 FROM dna) SELECT symbol::INTEGER AS symbol, count(*) AS n FROM c GROUP BY 1",
     "c_array_dna": f"WITH {DNA}, c AS (SELECT instr('ACGTN', unnest(string_split(t, ''))) AS symbol FROM dna WHERE t <> '' UNION ALL SELECT 0 FROM dna), h AS (SELECT symbol, count(*) AS n FROM c GROUP BY 1) SELECT symbol::INTEGER AS symbol, coalesce(sum(n) OVER (ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS smaller FROM h",
     "locate_bytes_benchmark": "WITH h AS (SELECT item_id AS text_id, hex(encode(text)) AS t FROM benchmark), q(query_id, q) AS (VALUES (0::BIGINT, 'C3A9'), (1::BIGINT, '206C6120')) SELECT query_id, text_id, ((p - 1) // 2)::BIGINT AS position FROM (SELECT *, unnest(range(1, length(t), 2)) AS p FROM h, q) WHERE substr(t, p, length(q)) = q",
-    "rank_part": f"WITH {PARTS}, r AS (SELECT text_id, t, unnest(range(0, length(t) + 1)) AS idx FROM parts) SELECT ((text_id * 64 + idx) * 256 + ascii(c))::BIGINT AS request_id, (idx - length(replace(substr(t, 1, idx), c, '')))::BIGINT AS rank FROM r, (VALUES ('a'), ('1')) AS x(c)",
-    "rank_checkpoint_dna": f"WITH {DNA}, r AS (SELECT text_id, t, unnest(range(0, length(t) + 1, 37)) AS idx FROM dna) SELECT ((text_id * 1000000 + idx) * 256 + ascii(c))::BIGINT AS request_id, (idx - length(replace(substr(t, 1, idx), c, '')))::BIGINT AS rank FROM r, (VALUES ('A'), ('T')) AS x(c)",
-    "symbol_at_part": f"WITH {PARTS} SELECT text_id AS request_id, ascii(substr(t, 6, 1))::INTEGER AS symbol FROM parts WHERE length(t) > 5",
     "sa_bwt_nation": f"WITH {SA} SELECT * FROM o",
     "sa_sampled_nation": f"WITH {SA} SELECT sa_row, text_id, position FROM o WHERE sa_row % 4 = 0",
     "bwt_borders_nation": f"WITH {SA} SELECT sa_row, text_id, position FROM o WHERE symbol = 0",
     "lf_mapping_nation": f"WITH {SA} SELECT a.sa_row, b.sa_row AS lf FROM o a JOIN o b ON a.text_id = b.text_id AND b.position = a.position - 1",
     "alphabet_presets": "SELECT * FROM (VALUES ('ascii_dna', 5, 4), ('ascii_dna_with_n', 6, 4), ('ascii_dna_iupac', 16, 15), ('ascii_dna_iupac_as_dna_with_n', 6, 4), ('ascii_amino_acid', 23, 22), ('ascii_amino_acid_iupac', 28, 27), ('ascii_printable', 96, 95), ('u8_until_8', 10, 9), ('u8_until_254', 256, 255)) AS t(name, dense, searchable)",
     "alphabet_symbols": "SELECT * FROM (VALUES (65, 1, 65, true), (97, 1, 65, true), (67, 2, 67, true), (99, 2, 67, true), (71, 3, 71, true), (103, 3, 71, true), (84, 4, 84, true), (116, 4, 84, true)) AS t(io, dense, canonical_io, searchable)",
-    "fold_validate_docs": "SELECT n_nationkey::BIGINT AS text_id, NOT regexp_matches(n_name, '[^ACDEFGHIKLMNOPQRSTUVWYacdefghiklmnopqrstuvwy]') AS valid, upper(regexp_replace(n_name, '[^ACGTNacgtn]', '', 'g')) AS folded, nullif(instr('ACDEFGHIKLMNOPQRSTUVWY', upper(substr(n_name, 1, 1))), 0)::INTEGER AS first_dense FROM nation",
-    "fold_validate_documents": "SELECT doc_id::BIGINT AS text_id, NOT regexp_matches(text, '[^ACDEFGHIKLMNOPQRSTUVWYacdefghiklmnopqrstuvwy]') AS valid, NOT regexp_matches(text, '[^ -~]') AS printable, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS folded, CASE WHEN text <> '' THEN nullif(instr('AaCcDdEeFfGgHhIiKkLlMmNnOoPpQqRrSsTtUuVvWwYy', substr(text, 1, 1)) + 1, 1) // 2 END::INTEGER AS first_dense FROM documents",
+    "fold_validate_docs": "SELECT doc_id::BIGINT AS text_id, NOT regexp_matches(text, '[^ACDEFGHIKLMNOPQRSTUVWYacdefghiklmnopqrstuvwy]') AS valid, NOT regexp_matches(text, '[^ -~]') AS printable, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) AS folded, CASE WHEN text <> '' THEN nullif(instr('AaCcDdEeFfGgHhIiKkLlMmNnOoPpQqRrSsTtUuVvWwYy', substr(text, 1, 1)) + 1, 1) // 2 END::INTEGER AS first_dense FROM documents",
+    "rank_part": f"WITH {PARTS}, r AS (SELECT text_id, t, unnest(range(0, length(t) + 1)) AS idx FROM parts) SELECT text_id::BIGINT AS text_id, idx::BIGINT AS idx, ascii(c)::INTEGER AS symbol, (idx - length(replace(substr(t, 1, idx), c, '')))::BIGINT AS rank FROM r, (VALUES ('a'), ('1')) AS x(c)",
+    "rank_checkpoint_dna": f"""WITH {DNA}, r AS (SELECT text_id, s, length(t) AS l, c, unnest(CASE WHEN t = '' THEN [] ELSE range(1, length(t) + 1) END) AS p, unnest(string_split(t, '')) = c AS hit FROM dna, (VALUES (65, 'A'), (67, 'C'), (71, 'G'), (84, 'T'), (78, 'N')) AS x(s, c) WHERE t <> ''),
+      k AS (SELECT text_id, s, l, p, sum(hit::INT) OVER (PARTITION BY text_id, s ORDER BY p) AS rank FROM r)
+      SELECT text_id::BIGINT AS text_id, s::INTEGER AS symbol, (max(l) + 1)::BIGINT AS n, sum(rank)::BIGINT AS total, max(rank)::BIGINT AS last, sum(rank * (p % 97 + 1))::BIGINT AS weighted FROM k GROUP BY 1, 2
+      UNION ALL SELECT text_id, s::INTEGER, 1, 0, 0, 0 FROM dna, (VALUES (65), (67), (71), (84), (78)) AS x(s) WHERE t = ''""",
+    "symbol_at_part": f"WITH {PARTS}, r AS (SELECT text_id, t, unnest(range(0, length(t))) AS idx FROM parts) SELECT text_id::BIGINT AS text_id, idx::BIGINT AS idx, ascii(substr(t, idx + 1, 1))::INTEGER AS symbol FROM r",
+    "rank_shape_part": f"WITH {PARTS} SELECT text_id::BIGINT AS text_id, length(t)::BIGINT AS text_len, 128 AS alphabet_size FROM parts",
+    "sa_bwt_part": f"WITH {SA_PART} SELECT * FROM o",
+    "sa_sampled_part": f"WITH {SA_PART} SELECT sa_row, text_id, position::INTEGER AS position FROM o WHERE sa_row % 3 = 0",
+    "bwt_borders_part": f"WITH {SA_PART} SELECT sa_row, text_id, position FROM o WHERE symbol = 0",
+    "lf_mapping_part": f"WITH {SA_PART} SELECT a.sa_row, b.sa_row AS lf FROM o a JOIN o b ON a.text_id = b.text_id AND b.position = a.position - 1",
+    "bwt_rank_part": f"WITH {SA_PART}, c AS (SELECT symbol, count(*) AS n FROM o GROUP BY 1) SELECT x::INTEGER AS symbol, coalesce(n, 0)::BIGINT AS n FROM range(96) AS y(x) LEFT JOIN c ON symbol = x",
+    "index_facts_part": f"WITH {PARTS} SELECT unnest(['num_texts', 'total_text_len', 'gram_length', 'sampling_rate', 'index_width', 'low_memory', 'same_alphabet', 'dense_symbols', 'has_sentinel', 'clone_is_equal']) AS fact, unnest([count(*), sum(length(t)) + count(*), 3, 8, 32, 1, 1, 96, 1, 1])::BIGINT AS value FROM parts",
+    "cursors_many_dna": "WITH " + DNA + ", " + ", ".join(f"a{i} AS (WITH {hits('dna', q)} SELECT {i}::BIGINT AS step, q.query_id, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY 2)" for i, q in enumerate(CURSORS)) + " SELECT * FROM a0 UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2",
+    "cursor_methods_dna": f"WITH {DNA}, {hits('dna', [b'', b'GT', b'AGT', b'GT', b'GT', b'AGT'])} SELECT ['empty', 'gt', 'agt', 'copy', 'dense', 'located'][q.query_id + 1] AS name, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY q.query_id",
+    "alphabet_codec_documents": f"""WITH h AS (SELECT hex(encode(text)) AS t FROM documents WHERE text <> ''), b AS (SELECT unnest(regexp_extract_all(t, '..')) AS x FROM h), c AS (SELECT ('0x' || x)::INTEGER AS byte, count(*) AS n FROM b GROUP BY 1),
+      d AS (SELECT byte, n, CASE WHEN byte < 128 THEN nullif(instr('{AMINO}', chr(byte)), 0) END AS place FROM c)
+      SELECT byte, n, ((place + 1) // 2)::INTEGER AS dense, ascii(substr('{AMINO}', (place + 1) // 2 * 2 - 1, 1))::INTEGER AS canonical, ascii(substr('{AMINO}', (place + 1) // 2 * 2 - 1, 1))::INTEGER AS checked FROM d""",
+    "alphabet_validation": "SELECT * FROM (VALUES ('no group', false), ('empty group', false), ('byte twice', false), ('nothing searchable', false), ('256 groups', false), ('255 groups', true)) AS t(groups, accepted)",
+    "nibbles_dna": f"""WITH {DNA}, d AS (SELECT text_id, length(t) AS n, translate(t, 'ACGTN', '12345') || CASE WHEN length(t) % 2 = 1 THEN '0' ELSE '' END AS packed FROM dna)
+      SELECT text_id, packed, true AS same, nullif(substr(packed, 1, 1), '')::INTEGER AS first, 0::BIGINT AS zeros FROM d""",
+    "bits_lineitem": """WITH x AS (SELECT *, l_orderkey * 2654435761 + l_partkey AS x, l_linenumber * 9 AS b FROM lineitem)
+      SELECT l_orderkey, l_linenumber, bit_count(x)::INTEGER AS ones, bit_count(x & ((1::BIGINT << b) - 1))::INTEGER AS ones_before,
+             CASE WHEN l_partkey > 1 THEN length(bin(l_partkey - 1)) ELSE 0 END::INTEGER AS width, (9 ** l_linenumber)::BIGINT AS power FROM x""",
+    "count_many_saved": f"WITH {DNA}, {hits('dna', SHORT + MIXED)} SELECT q.query_id, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY 1",
+    "locate_many_saved": f"WITH {DNA}, {hits('dna', MIXED)} SELECT * FROM hit",
 }

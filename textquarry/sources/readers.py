@@ -19,6 +19,6 @@ def table_texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def fasta_texts(spark: SparkSession, path: str) -> DataFrame:
     """(name, text) of the records of FASTA files: the line after '>' and the joined lines that follow it."""
     records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("r")).where(F.length("r") > 0)
-    name = F.regexp_extract("r", "^([^\n]*)", 1)
-    body = F.regexp_replace(F.regexp_replace("r", "^[^\n]*", ""), "\\s", "")
+    name = F.regexp_extract("r", "^([^\r\n]*)", 1)
+    body = F.regexp_replace(F.regexp_replace("r", "^[^\r\n]*", ""), "\\s", "")
     return records.select(F.trim(name).alias("name"), body.cast("binary").alias("text"))
