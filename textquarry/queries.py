@@ -317,7 +317,7 @@ def nibbles_dna(spark, sf_dir):
 def bits_lineitem(spark, sf_dir):
     """Popcount, popcount before a bit, the bits that a number needs, and an integer power, of every order."""
     x = F.col("l_orderkey") * 2654435761 + F.col("l_partkey")
-    n = (F.col("l_linenumber") * 9).cast("int")
+    n = (F.col("l_linenumber") * 8).cast("int")
     power = bits.integer_power(F.lit(3), F.col("l_linenumber") * 2)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bits.popcount(x).alias("ones"), bits.popcount_before(x, n).alias("ones_before"), bits.ceil_log2(F.col("l_partkey")).alias("width"), power.alias("power"))
 
@@ -427,7 +427,7 @@ ORACLE = {
     "alphabet_validation": "SELECT * FROM (VALUES ('no group', false), ('empty group', false), ('byte twice', false), ('nothing searchable', false), ('256 groups', false), ('255 groups', true)) AS t(groups, accepted)",
     "nibbles_dna": f"""WITH {DNA}, d AS (SELECT text_id, length(t) AS n, translate(t, 'ACGTN', '12345') || CASE WHEN length(t) % 2 = 1 THEN '0' ELSE '' END AS packed FROM dna)
       SELECT text_id, packed, true AS same, nullif(substr(packed, 1, 1), '')::INTEGER AS first, 0::BIGINT AS zeros FROM d""",
-    "bits_lineitem": """WITH x AS (SELECT *, l_orderkey * 2654435761 + l_partkey AS x, l_linenumber * 9 AS b FROM lineitem)
+    "bits_lineitem": """WITH x AS (SELECT *, l_orderkey * 2654435761 + l_partkey AS x, l_linenumber * 8 AS b FROM lineitem)
       SELECT l_orderkey, l_linenumber, bit_count(x)::INTEGER AS ones, bit_count(x & ((1::BIGINT << b) - 1))::INTEGER AS ones_before,
              CASE WHEN l_partkey > 1 THEN length(bin(l_partkey - 1)) ELSE 0 END::INTEGER AS width, (9 ** l_linenumber)::BIGINT AS power FROM x""",
     "count_many_saved": f"WITH {DNA}, {hits('dna', SHORT + MIXED)} SELECT q.query_id, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY 1",
