@@ -120,7 +120,8 @@ def repair_chats(turns: DataFrame, costs: dict[str, float] | None = None) -> Dat
     table, ends = moves(costs), endings(costs)
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("__h", F.xxhash64("text"))
     order = ["conv_id", "turn", "role", "__h"]
-    rows = rows.repartitionByRange(C.partitions(turns.sparkSession), *order).sortWithinPartitions(*order).drop("__h")
+    parts = C.group_count(turns)
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("__h")
     rows = rows.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id())
     # A range partitioning samples, and is fixed by being written.
     rows = C.cut(rows)
@@ -205,7 +206,7 @@ def repair_chats(turns: DataFrame, costs: dict[str, float] | None = None) -> Dat
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), arrow)], names=arrow.names)
 
     reduced = rows.groupBy("part").applyInArrow(reduce_part, piece_schema)
-    bucket = F.pmod(F.xxhash64("conv_id"), F.lit(C.group_count(turns.sparkSession)))
+    bucket = F.pmod(F.xxhash64("conv_id"), F.lit(parts))
     bounded = reduced.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda t: borders(t), border_schema)
     return rows.groupBy("part").cogroup(bounded.groupBy("part")).applyInArrow(render, out)
 

@@ -12,14 +12,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..plans.lineage import cut  # noqa: F401
+from ..plans.lineage import cut, shared_folder, stored  # noqa: F401
 
 FLUSH_BYTES = 24 << 20
+#: What a group of documents has at most, but for one longer document: bytes of text and rows.
+GROUP_BYTES = 8 << 20
+GROUP_ROWS = 1 << 16
+#: Up to so many ids are broadcast.
+BROADCAST_IDS = 500_000
 SEND = "to int, sender int, payload binary"
 
 
@@ -69,6 +75,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def group_of(groups: int) -> Column:
+    """The group of a row: by doc_id; rows without one by their text and where they lie, so that they are spread."""
+    h = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text", F.spark_partition_id()))
+    return F.pmod(h, F.lit(groups)).cast("int")
+
+
+def group_of_id(groups: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
+
+
+def group_count(docs: DataFrame, group_bytes: int | None = None, group_rows: int | None = None) -> int:
+    """Groups for pack(): one for each GROUP_BYTES of text or GROUP_ROWS rows, measured, whatever the shuffle's partitions."""
+    n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(1, -(-total // (group_bytes or GROUP_BYTES)), -(-n // (group_rows or GROUP_ROWS)))
+
+
 def pack(docs: DataFrame, groups: int) -> DataFrame:
     """docs as rows (g int, blob binary): compressed Arrow tables of rows with the same g, hashed from doc_id.
 
@@ -76,7 +98,9 @@ def pack(docs: DataFrame, groups: int) -> DataFrame:
     """
     spark = docs.sparkSession
     g = "__group"
-    tagged = docs.withColumn(g, F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    while g in docs.columns:
+        g += "_"
+    tagged = docs.withColumn(g, group_of(groups))
 
     def blobs(batches):
         held, size = [], 0
@@ -106,11 +130,6 @@ def pack(docs: DataFrame, groups: int) -> DataFrame:
     return tagged.mapInArrow(blobs, "g int, blob binary").repartition(partitions(spark), "g")
 
 
-def group_count(spark: SparkSession) -> int:
-    """Groups for pack(): four for each shuffle partition, so that a group is a fraction of what one task handles."""
-    return 4 * partitions(spark)
-
-
 def unpacked(table: pa.Table) -> pa.Table | None:
     """All rows of a group's blobs, in order of doc_id."""
     parts = [thaw(x) for x in table.column("blob").to_pylist() if x is not None]
@@ -128,12 +147,15 @@ def texts_of(table: pa.Table) -> list[bytes]:
 def drop_rows(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
     """docs without the rows whose doc_id is in ids; with `once`, only the first row of each doc_id that stays.
 
-    Rows with a null doc_id stay. ids may hold any number of rows; each group of documents gets its own.
+    Rows with a null doc_id stay. Few ids are broadcast, and documents don't move; of more, each group of documents gets its own.
     """
-    groups = group_count(docs.sparkSession)
+    gone = cut(ids.select("doc_id").where("doc_id IS NOT NULL").distinct())
+    repeats = once and docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1)
+    if not repeats and gone.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    groups = group_count(docs)
     packed = pack(docs, groups)
-    gone = ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    gone = gone.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("doc_id").alias("ids"))
+    gone = gone.groupBy(group_of_id(groups).alias("g")).agg(F.collect_list("doc_id").alias("ids"))
     arrow = to_arrow_schema(docs.schema)
 
     def rest(left, right):
@@ -151,6 +173,20 @@ def drop_rows(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
     return packed.groupBy("g").cogroup(gone.groupBy("g")).applyInArrow(rest, docs.schema)
 
 
+def batched(parts, rows: int = 4000, size: int = 16 << 20):
+    """Tables of at most `rows` rows and about `size` bytes of text, from Arrow batches."""
+    for batch in parts:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, s = np.cumsum(lengths), 0
+        while s < batch.num_rows:
+            e = int(np.searchsorted(upto, upto[s] - lengths[s] + size)) + 1
+            e = min(e, s + rows, batch.num_rows)
+            yield pa.Table.from_batches([batch.slice(s, e - s)])
+            s = e
+
+
 def sends(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"to": pa.array([r[0] for r in rows], pa.int32()), "sender": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 

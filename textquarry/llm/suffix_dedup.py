@@ -229,8 +229,8 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
     """
     if min_len < 16:
         raise ValueError("min_len must be 16 or more")
-    spark = docs.sparkSession
-    groups, buckets = groups or C.group_count(spark), C.group_count(spark)
+    groups = groups or C.group_count(docs)
+    buckets = groups
     packed = C.pack(docs.select("doc_id", "text"), groups)
 
     def ids_of(table):

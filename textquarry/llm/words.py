@@ -63,12 +63,12 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out[same]), words.owner[:n][same]
 
 
-def batches(texts: list[bytes], size: int = 1 << 20):
-    """(first, last + 1) of runs of texts of about `size` bytes."""
+def batches(texts: list[bytes], size: int = 1 << 20, rows: int = 1 << 14):
+    """(first, last + 1) of runs of texts of about `size` bytes and at most `rows` texts."""
     s = total = 0
     for i, t in enumerate(texts):
         total += len(t) + 1
-        if total >= size:
+        if total >= size or i + 1 - s >= rows:
             yield s, i + 1
             s, total = i + 1, 0
     if s < len(texts):
