@@ -1,11 +1,11 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of characters, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of UTF-8 bytes, trained on trusted text.
 
-Characters are folded to 256 classes and n-grams have order five, so a 5-gram `abcde` is a 40-bit number. The whole of the
-trusted text is counted. Counts and all distinct 5-grams of the corpus are sharded by the middle `bcd`, where everything
+Symbols are the bytes of a text, so that letters of every script stay apart; n-grams have order five, and a 5-gram `abcde`
+is a 40-bit number. The whole of the trusted text is counted. Counts and all distinct 5-grams of the corpus are sharded by the middle `bcd`, where everything
 that orders five and four need comes together: contexts abcd and bcd, and the distinct a before bcde. The lower orders
-are a table over class triples, bounded by the alphabet and not by the corpus; it is made of sums by shard and sent to
+are a table over triples of bytes, bounded by the alphabet and not by the corpus; it is made of sums by shard and sent to
 each shard. Shards answer each group of documents with the probabilities of its distinct 5-grams, and the mean over a
-text's characters gives its perplexity. Documents above their language's quantile of trusted perplexity are rejected.
+text's bytes gives its perplexity. Documents above their language's quantile of trusted perplexity are rejected.
 """
 
 from __future__ import annotations
@@ -24,30 +24,28 @@ from .common import compress, expand, freeze, mix, pack_sorted, sends, texts_of,
 
 ORDER = 5
 HELD_OUT = 5
-CHUNK_CHARS = 1 << 20
+CHUNK_BYTES = 1 << 20
 EDGE = 0
 
 
-def char_classes() -> np.ndarray:
-    """Classes 1-255 of the code points below 0x250; the others go by block into the last 32. Digits are one class, and
-    so are white space and control characters by two. 0 stands before a text.
+def byte_classes() -> np.ndarray:
+    """A symbol for each byte: itself, but digits are one, control characters are a space and line ends a line feed.
+    0 stands before a text; a byte 0 is 255, which UTF-8 doesn't use.
     """
-    table = np.zeros(0x250, np.uint8)
-    found: dict = {}
-    for c in range(0x250):
-        ch = chr(c)
-        key = "0" if ch.isdigit() else "\n" if c in (10, 13) else " " if ch.isspace() or c < 32 or 127 <= c < 160 else ch if c < 0x180 or not ch.isalpha() else ("latin", c % 16)
-        table[c] = min(223, found.setdefault(key, len(found) + 1))
+    table = np.arange(256, dtype=np.uint8)
+    table[[*range(1, 32), 127]] = 32
+    table[[10, 13]] = 10
+    table[48:58] = 48
+    table[0] = 255
     return table
 
 
 def classes_of(text: bytes, table: np.ndarray) -> np.ndarray:
-    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    return np.where(points < len(table), table[np.minimum(points, len(table) - 1)], (224 + (points >> 8) % 32).astype(np.uint8))
+    return table[np.frombuffer(text, np.uint8)]
 
 
 def grams(texts: list[bytes], table: np.ndarray):
-    """(5-grams, characters per text) for runs of texts of about a million characters."""
+    """(5-grams, bytes per text) for runs of texts of about a million bytes."""
     held, sizes, total = [], [], 0
 
     def joined():
@@ -60,7 +58,7 @@ def grams(texts: list[bytes], table: np.ndarray):
         held.append(classes_of(text, table))
         sizes.append(len(held[-1]))
         total += sizes[-1] + ORDER - 1
-        if total >= CHUNK_CHARS:
+        if total >= CHUNK_BYTES:
             yield joined()
             held, sizes, total = [], [], 0
     if held:
@@ -165,19 +163,19 @@ class Lookup:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None) -> DataFrame:
-    """All columns of docs but text, and n_scored (characters), perplexity, trusted and held_out: one row per row of docs.
+    """All columns of docs but text, and n_scored (bytes), perplexity, trusted and held_out: one row per row of docs.
 
     trusted has the doc_id of the documents to train on. One in HELD_OUT of them, by a hash of doc_id, is kept from
-    training; all text of the others is used. A text without characters has null perplexity. Columns of those names in
+    training; all text of the others is used. An empty text has null perplexity. Columns of those names in
     docs give way.
     """
-    spark = docs.sparkSession
-    groups, shards = groups or C.group_count(spark), C.partitions(spark)
+    groups = groups or C.group_count(docs)
+    shards = groups
     docs = docs.drop("n_scored", "perplexity", "trusted", "held_out")
     packed = C.pack(docs, groups)
-    table = char_classes()
+    table = byte_classes()
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    ids = ids.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("doc_id").alias("ids"))
+    ids = ids.groupBy(C.group_of_id(groups).alias("g")).agg(F.collect_list("doc_id").alias("ids"))
 
     def trusted_of(docs_: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Which documents are trusted, and which of those are held out."""
@@ -269,7 +267,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
         docs_ = docs_.drop_columns(["text"]).append_column("n_scored", pa.array(n)).append_column("perplexity", pa.array(result, mask=n == 0)).append_column("trusted", pa.array(known)).append_column("held_out", pa.array(held))
         return docs_.cast(arrow)
 
-    asked = packed.groupBy("g").cogroup(ids.groupBy("g")).applyInArrow(ask, C.SEND).repartition(shards, "to")
+    asked = packed.groupBy("g").cogroup(ids.groupBy("g")).applyInArrow(ask, C.SEND).repartition(C.partitions(docs.sparkSession), "to")
     lower = asked.groupBy("to").applyInArrow(lower_counts, C.SEND).groupBy("to").applyInArrow(add_up, C.SEND)
     answers = asked.groupBy("to").cogroup(lower.groupBy("to")).applyInArrow(answer, C.SEND)
     right = answers.select("to", "sender", "payload", F.lit(None).cast(tagged.split("ids ")[1]).alias("ids"))
@@ -280,7 +278,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, groups: int | None = None)
 def classify_quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.15, doubt: float = 2.5, least: int = 30) -> DataFrame:
     """All columns of docs but text, and n_scored, perplexity, trusted, held_out, bound, limit and kept: one row per row of docs.
 
-    bound is what the perplexity may be at least, perplexity * exp(-doubt / sqrt(n_scored)): few characters tell little.
+    bound is what the perplexity may be at least, perplexity * exp(-doubt / sqrt(n_scored)): few bytes tell little.
     A document is rejected if that is above its language's limit: the quantile of the held-out trusted documents of that
     language, or of all languages where fewer than `least` are held out. If those are fewer than `least` too, their quantile
     can't be told, and the limit is slack times it (without any, slack times that of those trained on).
