@@ -5,9 +5,10 @@ random registers; a register keeps the shingle that came first. Arrivals after t
 filled can't matter, so the process stops there. Two texts agree in a register with the probability Jaccard similarity
 of their shingles. Bands of registers find candidates.
 
-Equal texts are folded before banding. In a bucket of a band nobody emits all pairs: all are compared with one leader,
-for several choices of leader in turn, and what is linked grows together to components. Only buckets that still hold
-several components are looked at pair by pair, across components, so that no link is lost.
+Equal texts, which are told by the 128-bit hash of their words, are folded before banding. In a bucket of a band all are
+compared with one leader, for several choices of leader in turn, and what is linked grows together to components. Large
+buckets that still hold several components get more and more leaders, each of which leaves once it has met the others;
+only small ones are looked at pair by pair, across components. No link is lost, and no row is the pair of all by all.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common as C
-from .common import mix, pack_sorted, texts_of, unpack_sorted, unpacked
-from .words import Words, batches, shingles
+from .common import mix, pack_sorted, texts_of, unpack_sorted
+from .words import Words, shingles
 
 SHINGLE = 5
+#: A leader with more pairs than that is joined in several parts.
+HOT_PAIRS = 5000
 MASK = np.uint64((1 << 48) - 1)
 
 
@@ -100,71 +103,56 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, words (128-bit hash of the words in order) and the band hashes of each row."""
-    out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """doc_id, words (128-bit hash of the words in order), the band hashes, and the shingles with their weights, of each row."""
+    out = T.StructType([docs.schema["doc_id"], T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType()), T.StructField("weights", T.BinaryType())])
     arrow = to_arrow_schema(out)
 
     def sign(parts):
-        for batch in parts:
-            for s in range(0, batch.num_rows, 4000):
-                b = pa.Table.from_batches([batch.slice(s, 4000)])
-                if not b.num_rows:
-                    continue
-                texts = cleaned(texts_of(b))
-                found = []
-                for x, y in batches(texts, 1 << 21):
-                    signature = signatures(*weighted(texts[x:y]), y - x, bands * rows).reshape(y - x, bands, rows)
-                    h = np.zeros((y - x, bands), np.uint64)
-                    for r in range(rows):
-                        h = mix(h + signature[:, :, r])
-                    found.append(h.view(np.int64))
-                flat = pa.array(np.concatenate(found).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), flat)
-                yield from pa.Table.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), lists], names=arrow.names).cast(arrow).to_batches()
+        for b in C.batched(parts, 1 << 14, 2 << 20):
+            texts = cleaned(texts_of(b))
+            owner, h, n = weighted(texts)
+            signature = signatures(owner, h, n, len(texts), bands * rows).reshape(len(texts), bands, rows)
+            band = np.zeros((len(texts), bands), np.uint64)
+            for r in range(rows):
+                band = mix(band + signature[:, :, r])
+            flat = pa.array(band.view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), flat)
+            ends, keys, weights = np.searchsorted(owner, np.arange(len(texts) + 1)), [], []
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                keys.append(pack_sorted(h[s:e]))
+                weights.append(b"" if n[s:e].max() == 1 else C.compress(n[s:e].astype(np.uint32).tobytes()))
+            yield from pa.Table.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), lists, pa.array(keys, pa.binary()), pa.array(weights, pa.binary())], names=arrow.names).cast(arrow).to_batches()
 
     return docs.select("doc_id", "text").mapInArrow(sign, out)
 
 
-def select_rows(docs: DataFrame, ids: DataFrame, fn, out: T.StructType) -> DataFrame:
-    """fn(rows of docs in order of doc_id, set of ids) for each group of packed docs. ids: one column doc_id, without null."""
-    groups = C.group_count(docs.sparkSession)
-    packed = C.pack(docs, groups)
-    wanted = ids.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("doc_id").alias("ids"))
-    arrow = to_arrow_schema(out)
-
-    def pick(left, right):
-        if not left.num_rows:
-            return C.empty_like(arrow)
-        known = {i for x in right.column("ids").to_pylist() for i in x} if right.num_rows else set()
-        return fn(unpacked(left), known).cast(arrow)
-
-    return packed.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(pick, out)
-
+def shingle_sets(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles, weights) of the texts in nodes, once each however many rows have them."""
+    sets = own.select(F.col("words").alias("node"), "shingles", "weights")
+    few = nodes.count() <= C.BROADCAST_IDS
+    if few:
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
+    return sets if few else sets.join(nodes, "node", "left_semi")
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles, weights) of the documents in ids."""
-    out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("shingles", T.BinaryType()), T.StructField("weights", T.BinaryType())])
 
-    def sets(table, known):
-        at = [i for i, d in enumerate(table.column("doc_id").to_pylist()) if d in known]
-        table = table.take(pa.array(at, pa.int64()))
-        texts, keys, weights = cleaned(texts_of(table)), [], []
-        for x, y in batches(texts, 1 << 21):
-            owner, h, n = weighted(texts[x:y])
-            ends = np.searchsorted(owner, np.arange(y - x + 1))
-            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                keys.append(pack_sorted(h[s:e]))
-                weights.append(b"" if n[s:e].max() == 1 else C.compress(n[s:e].astype(np.uint32).tobytes()))
-        return pa.Table.from_arrays([table.column("doc_id"), pa.array(keys, pa.binary()), pa.array(weights, pa.binary())], names=["doc_id", "shingles", "weights"])
-
-    return select_rows(docs.select("doc_id", "text"), ids, sets, out).dropDuplicates(["doc_id"])
+def salted(pairs: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """pairs and the sets of their leaders b, both with a salt where a leader has very many pairs; and what to join them on."""
+    hot = C.cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PAIRS).select("b", F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("salts")))
+    if not hot.head(1):
+        return pairs, two, ["b"]
+    salts = F.coalesce("salts", F.lit(1))
+    pairs = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int")).drop("salts")
+    two = two.join(hot, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return pairs, two, ["b", "salt"]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose probability Jaccard similarity is at least `similarity`, with it."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("ha"), F.col("weights").alias("wa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("hb"), F.col("weights").alias("wb"))
-    joined = pairs.join(one, "a").join(two, "b")
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("ha"), F.col("weights").alias("wa"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("hb"), F.col("weights").alias("wb"))
+    pairs, two, on = salted(pairs, two)
+    joined = pairs.join(one, "a").join(two, on).select("a", "b", "ha", "wa", "hb", "wb")
     out = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("similarity", T.DoubleType())])
     arrow = to_arrow_schema(out)
 
@@ -210,7 +198,13 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2) -> DataFrame:
+def mixed_buckets(parts: DataFrame) -> DataFrame:
+    """(band, value, n) of the buckets that hold several components."""
+    seen = parts.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    return seen.where("low != high").select("band", "value", "n")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2, pairwise: int = 64) -> DataFrame:
     """doc_id, class_id: one row per row of docs.
 
     Documents are linked if the probability Jaccard similarity of their 5-word shingles, weighted by occurrence, is at
@@ -220,45 +214,60 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
 
     Words are lower-cased and split at white space. A text of fewer than five words is one shingle: it is linked to texts
     with the same words only, and so are null and empty texts, which have none. A null doc_id counts as larger than all:
-    it is in a class but never its class_id, unless all are null. Repeated rows are in one class. Empty table: empty
-    result. Extra columns are ignored.
+    it is in a class but never its class_id, unless all are null. Rows that share a doc_id are rows of their own. Repeated
+    rows are in one class. Empty table: empty result. Extra columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    own = C.cut(signed(docs, bands, rows))
+    own = C.stored(signed(docs.select("doc_id", "text"), bands, rows), "signed")
     texts = own.groupBy("words").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    member = texts.where("rep IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "value"))
+    member = texts.select(F.col("words").alias("node"), F.posexplode("bands").alias("band", "value"))
     crowded = member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = C.cut(member.join(crowded.select("band", "value"), ["band", "value"], "left_semi"))
-    sets = C.cut(shingle_sets(docs, member.select(F.col("rep").alias("doc_id")).distinct()))
+    sets = C.cut(shingle_sets(own, member.select("node").distinct()))
     label = None
-    parts = member.withColumn("component", F.col("rep"))
+    parts = member.withColumn("component", F.col("node"))
+
+    def linked(pairs: DataFrame) -> None:
+        """Verifies pairs (a, b), b being the leader, and lets components grow."""
+        nonlocal label
+        found = C.cut(verified(pairs.distinct(), sets, similarity))
+        if found.head(1):
+            label = components(found, label)
+
     for k in range(rounds):
         # A leader for each bucket, by another order each round; those of the bucket's other components try it.
-        rank = F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep")
+        rank = F.struct(F.xxhash64("node", F.lit(k)), "node")
         lead = parts.groupBy("band", "value").agg(F.min(rank).alias("lead"), F.min_by("component", rank).alias("led"), F.max("component").alias("high"), F.min("component").alias("low")).where("high != low")
-        pairs = parts.join(lead, ["band", "value"]).where("component != led").select(F.greatest("rep", "lead.rep").alias("a"), F.least("rep", "lead.rep").alias("b")).distinct()
-        found = C.cut(verified(pairs, sets, similarity))
-        if not found.head(1):
-            continue
-        label = components(found, label)
-        parts = with_components(member, label)
-    # Across the components that still share a bucket, every pair.
-    mixed = parts.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band", "value")
-    mixed = C.cut(parts.join(mixed, ["band", "value"], "left_semi"))
-    other = mixed.select("band", "value", F.col("rep").alias("b"), F.col("component").alias("c2"))
-    pairs = mixed.join(other, ["band", "value"]).where("rep > b AND component != c2").select(F.col("rep").alias("a"), "b").distinct()
-    found = C.cut(verified(pairs, sets, similarity))
-    if found.head(1):
-        label = components(found, label)
-    named = own.select("doc_id", "words").join(texts.select("words", "rep"), "words")
-    if label is None:
-        return named.select("doc_id", F.col("rep").alias("class_id"))
-    return named.join(label, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+        linked(parts.join(lead, ["band", "value"]).where("component != led").select(F.col("node").alias("a"), F.col("lead.node").alias("b")))
+        if label is not None:
+            parts = with_components(member, label)
+    # The buckets that still hold several components, and nothing else, go on.
+    parts = C.cut(parts.join(mixed_buckets(parts), ["band", "value"]))
+    leaders = 4
+    while parts.where(F.col("n") > pairwise).head(1):
+        # About so many leaders in each large bucket, by a hash, and the least one in any case; every other member meets them all.
+        h = F.xxhash64("node", F.lit(leaders))
+        least = parts.where(F.col("n") > pairwise).groupBy("band", "value").agg(F.min(h).alias("least"))
+        ranked = C.cut(parts.join(least, ["band", "value"], "left").withColumn("leads", F.coalesce((h == F.col("least")) | (F.pmod(h, F.col("n")) < leaders), F.lit(False)) & F.col("least").isNotNull()).drop("least"))
+        lead = ranked.where("leads").select("band", "value", F.col("node").alias("b"), F.col("component").alias("led"))
+        linked(ranked.join(lead, ["band", "value"]).where("component != led AND (NOT leads OR node > b)").select(F.col("node").alias("a"), "b"))
+        rest = ranked.where("NOT leads").select("band", "value", "node", "component")
+        rest = rest if label is None else with_components(rest.drop("component"), label)
+        parts, leaders = C.cut(rest.join(mixed_buckets(rest), ["band", "value"])), leaders * 4
+    # In small buckets every pair across components.
+    other = parts.select("band", "value", F.col("node").alias("b"), F.col("component").alias("c2"))
+    linked(parts.join(other, ["band", "value"]).where("node > b AND component != c2").select(F.col("node").alias("a"), "b"))
+    names = texts.select("words", F.col("rep").alias("class_id"))
+    if label is not None:
+        # A class is named by the least id of its members.
+        least = texts.select(F.col("words").alias("node"), "rep").join(label, "node").groupBy("component").agg(F.min("rep").alias("least"))
+        named = label.join(least, "component").select(F.col("node").alias("words"), "least")
+        names = names.join(named, "words", "left").select("words", F.coalesce("least", "class_id").alias("class_id"))
+    return own.select("doc_id", "words").join(names, "words").select("doc_id", "class_id")
 
 
 def with_components(member: DataFrame, label: DataFrame) -> DataFrame:
-    joined = member.join(label, F.col("rep") == F.col("node"), "left")
-    return C.cut(joined.select("band", "value", "rep", F.coalesce("component", "rep").alias("component")))
+    joined = member.join(label, "node", "left")
+    return C.cut(joined.select("band", "value", "node", F.coalesce("component", "node").alias("component")))
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
