@@ -429,7 +429,7 @@ ORACLE = {
       SELECT text_id, packed, true AS same, nullif(substr(packed, 1, 1), '')::INTEGER AS first, 0::BIGINT AS zeros FROM d""",
     "bits_lineitem": """WITH x AS (SELECT *, l_orderkey * 2654435761 + l_partkey AS x, l_linenumber * 8 AS b FROM lineitem)
       SELECT l_orderkey, l_linenumber, bit_count(x)::INTEGER AS ones, bit_count(x & ((1::BIGINT << b) - 1))::INTEGER AS ones_before,
-             CASE WHEN l_partkey > 1 THEN length(bin(l_partkey - 1)) ELSE 0 END::INTEGER AS width, (9 ** l_linenumber)::BIGINT AS power FROM x""",
+             CASE WHEN l_partkey > 1 THEN length(bin(l_partkey - 1)) WHEN l_partkey = 1 THEN 0 END::INTEGER AS width, (9 ** l_linenumber)::BIGINT AS power FROM x""",
     "count_many_saved": f"WITH {DNA}, {hits('dna', SHORT + MIXED)} SELECT q.query_id, count(text_id) AS n FROM q LEFT JOIN hit USING (query_id) GROUP BY 1",
     "locate_many_saved": f"WITH {DNA}, {hits('dna', MIXED)} SELECT * FROM hit",
 }
