@@ -15,7 +15,7 @@ from textquarry.llm import common, near_dedup, perplexity
 from textquarry.llm.decontamination import decontaminate
 from textquarry.llm.license_scan import Templates, builtin_templates, license_scan, scan
 from textquarry.llm.line_dedup import has, insert, line_dedup, merged, places
-from textquarry.llm.mixing import mix_sources
+from textquarry.llm.mixing import mix_sources, unit_hash
 from textquarry.llm.near_dedup import components, near_duplicates, probability_jaccard, signatures, weighted
 from textquarry.llm.quality_rules import quality_rules
 from textquarry.llm.suffix_dedup import earliest, suffix_dedup
@@ -189,6 +189,14 @@ def test_mix_sources(docs, rows, none):
     assert mix_sources(none).collect() == []
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.2, 0.05])
+def test_bins_of_keys(spark, weight):
+    """Bins are in the order of keys and even, whatever the weight."""
+    d = spark.range(200000).select((-F.log(unit_hash(F.col("id").cast("string"), "x")) / weight).alias("key")).withColumn("bin", F.floor(F.log("key") * 1024))
+    bins = d.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("bin").collect()
+    assert max(b.n for b in bins) < 0.002 * 200000 and all(a.high < b.low for a, b in zip(bins, bins[1:]))
+
+
 def test_toxicity(spark, docs, rows, none):
     r = random.Random(3)
     train = []

@@ -5,7 +5,11 @@ weighted by quality. Each source is taken in whole epochs as often as its target
 taken in order of key until the prefix sum of words reaches the budget.
 
 A prefix sum over a source that holds a third of all rows is one group, so it is taken in two steps: keys fall into bins
-in their order, sums of the bins give each bin its offset, and only inside a bin of a source rows are sorted.
+in their order, sums of the bins give each bin its offset, and only inside a bin of a source rows are sorted. Bins are
+equally wide in the logarithm of the key. Whatever the weights, a bin then holds at most 0.37 / bins of a source's rows: the
+share of an exponential variable between x and x * exp(1 / bins).
+
+Texts are read once; what is known of each document, a few numbers, is written as a table.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ def quality_weight(text: Column) -> Column:
 
 def unit_hash(name: Column, seed: str) -> Column:
     """A number in (0, 1) that depends on the row's name and the seed only."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(name.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(seed), name)), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -50,21 +54,23 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     return s.select("source", "source_size", F.when(F.col("water").isNull() | (F.col("r") <= F.col("water")), F.col("cap")).otherwise(F.col("water") * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", bins: int = 4096, source: str = "source", weight: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", bins: int = 1024, source: str = "source", weight: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per row of docs.
 
     Sources by code point, null last, get weights in turn. taken is size times copies: the epochs that fit into the
     target, and one more for the documents whose middle, along the prefix sum in order of key, lies inside the rest.
 
-    Null or empty text: size 0, nothing taken. Null source: a source of its own. Null doc_id: one key for all such rows,
-    in order of size. Repeated rows have equal keys and follow one another. Empty table: empty result. Extra columns are ignored.
+    Null or empty text: size 0, nothing taken. Null source: a source of its own. Null doc_id: named by the
+    text. Repeated rows have equal keys and follow one another. Empty table: empty result. Columns named in
+    carry are returned too; other extra columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = -F.log(unit_hash(F.col("doc_id"), seed)) / (quality_weight(text) if weight is None else weight)
-    d = docs.select("doc_id", F.col(source).alias("source"), n_words(text).cast("long").alias("size"), key.alias("key"))
-    d = d.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(text)))
+    key = -F.log(unit_hash(name, seed)) / (quality_weight(text) if weight is None else weight)
+    d = C.stored(docs.select("doc_id", F.col(source).alias("source"), n_words(text).cast("long").alias("size"), key.alias("key"), *[F.col(c).alias(f"__carry{i}") for i, c in enumerate(carry)]), "mixing")
+    d = d.withColumn("bin", F.floor(F.log("key") * bins))
     per_bin = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    # Sums of a source's bins: bounded by the number of bins.
+    # Sums of a source's bins: bins times the range of the keys' logarithm, some tens.
     per_bin = per_bin.withColumn("before", F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     targets = source_targets(per_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), list(weights), share, most)
     t = targets.select(F.col("source").alias("s2"), "source_size", "target")
@@ -76,7 +82,7 @@ def mix_sources(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float
     d = d.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     more = (F.col("before") + F.col("ahead") + F.col("size") / 2 <= F.col("rest")) & (F.col("size") > 0) & (F.col("epochs") < most)
     d = d.withColumn("copies", F.col("epochs") + more.cast("long"))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[F.col(f"__carry{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -87,7 +93,7 @@ def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+         -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
          / greatest(0.05, 1 - 4 * ((length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>!', '')))::DOUBLE / greatest(length(coalesce(text, '')), 1))) AS k
   FROM documents
 ), s AS (
