@@ -45,3 +45,42 @@ def test_catalog():
     names = list(catalog.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def awkward_rows():
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(n))
+    shared = prose(9)
+    rows = [(i, f"{prose(60)}\n{shared}\n{prose(5)}", "en", "s", 1) for i in range(11)] + [(20 + i, prose(80), None, None, 1) for i in range(8)]
+    rows += [(40, None, "en", "s", None), (41, "", "en", "s", 0), (None, rows[0][1], None, None, 1), (None, rows[0][1], None, None, 1), (None, None, None, None, None), (50, "\n".join(prose(12) for _ in range(3000)), "de", "t", 1)]
+    rows += [rows[14], rows[14], (23, prose(70), "en", "s", 1)]
+    return [(*x, 7, 8, 9, 10, "l", 12, "g") for x in rows]
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, repeats, shared ids and clashing names, against rules told plainly; and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, copies int, taken long, target long, n_lines string, n_dropped long, __group string"
+    rows = awkward_rows()
+    docs = spark.createDataFrame(rows, schema)
+    item = " ".join(rows[18][1].split()[10:40])
+    spark.createDataFrame([(0, item), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = {n: lambda d=docs, f=f: f(spark, d, str(tmp_path)) for n, f in corpus_pipeline.STAGES}
+    have = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=repr)
+    every = sorted(((x[0], x[1]) for x in rows), key=repr)
+    good = have(stage["quality classifier"]())
+    assert [x for x in every if x[0] is None or not x[1]] == [x for x in good if x[0] is None or not x[1]]
+    lines = stage["line dedup"]()
+    assert lines.columns == docs.columns and {(x.n_lines, x.n_dropped) for x in lines.collect()} == {("l", 12)}
+    shared = rows[0][1].split("\n")[1]
+    expected = [(i, t if not t or i == 0 or shared not in t else "\n".join(x for x in t.split("\n") if x != shared)) for i, t in every]
+    assert have(lines) == sorted(expected, key=repr)
+    near = have(stage["MinHash near-dedup"]())
+    assert {i for i, _ in near} == {None, *range(11), *range(20, 28), 40, 50}
+    assert sum(i is None for i, _ in near) == 3 and len({i for i, _ in near if i is not None}) == len([i for i, _ in near if i is not None])
+    clean = have(stage["benchmark decontamination"]())
+    assert clean == [x for x in every if x[0] != rows[18][0]]
+    mixed = stage["mixing sources to target weights"]().collect()
+    assert mixed and all(x.text and x.copies in (1, 2) and x.taken == x.copies * x.size == x.copies * len(x.text.split()) for x in mixed)
+    for name, _ in corpus_pipeline.STAGES:
+        assert stage[name](docs.limit(0)).collect() == []
