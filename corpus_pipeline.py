@@ -72,7 +72,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.drop("copies", "size", "taken", "target")
     name = fresh(docs, "__name")
     named = docs.withColumn(name, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")), "source"))
-    mixed = mix_sources(named, carry=(name,)).where("copies > 0").groupBy(name).agg(*[F.max(c).alias(c) for c in ("copies", "size", "taken", "target")])
+    mixed = mix_sources(named, carry=(name,)).where("copies > 0 AND size > 0").groupBy(name).agg(*[F.max(c).alias(c) for c in ("copies", "size", "taken", "target")])
     return named.join(mixed, name).drop(name)
 
 
