@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import chat_repair as chat
 from textquarry.llm import common, near_dedup, perplexity
-from textquarry.llm.decontamination import decontaminate
+from textquarry.llm.decontamination import Items, decontaminate, leaks, normal
 from textquarry.llm.license_scan import Templates, builtin_templates, license_scan, scan
 from textquarry.llm.line_dedup import has, insert, line_dedup, merged, places
 from textquarry.llm.mixing import mix_sources, unit_hash
@@ -497,9 +498,19 @@ def test_signatures_estimate():
     assert abs((s[0] == s[1]).mean() - exact) < 0.05
 
 
-def test_decontaminate(spark, docs, none):
+def sellers(piece, text):
+    """The fewest edits of piece to any substring of text."""
+    x, steps = np.array([ord(c) for c in text]), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, c in enumerate(piece, 1):
+        new = np.append(i, np.minimum(row[:-1] + (x != ord(c)), row[1:] + 1))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+def test_decontaminate(spark, docs, rows, none):
     r = random.Random(8)
-    items = [(k, prose(r, 40)) for k in range(20)] + [(50, "short"), (51, None), (52, ""), (53, "twelve bytes")]
+    items = [(k, prose(r, 40)) for k in range(20)] + [(50, "short"), (51, None), (52, ""), (53, "twelve bytes"), (54, "ähnlich über grösste " * 6)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     planted = []
     for k in range(20):
@@ -510,13 +521,53 @@ def test_decontaminate(spark, docs, none):
             p = r.randrange(len(piece))
             piece[p : p + r.choice([0, 1])] = bytes(r.choices(b"abcdef", k=r.choice([0, 1])))
         planted.append((1000 + k, f"{prose(r, 30)} {piece.decode().upper()}\n {prose(r, 30)}"))
-    clean = [(2000 + k, prose(r, 100)) for k in range(30)]
-    table = spark.createDataFrame(planted + clean + [(None, items[0][1]), (3000, None), (3001, ""), (3002, "twelve   BYTES")], "doc_id long, text string")
-    for block in (4 << 20, 900):
-        got = {(x.doc_id, x.item_id) for x in decontaminate(table, benchmark, block_bytes=block).collect()}
-        assert got == {(1000 + k, k) for k in range(20)} | {(None, 0), (3002, 53)}
+    clean = [(2000 + k, prose(r, 100)) for k in range(30)] + [(2100, "shorten"), (2101, prose(r, 4000))]
+    extra = [(None, items[0][1]), (3000, None), (3001, ""), (3002, "twelve   BYTES"), (3003, "a Short one"), (3004, "x " + items[-1][1].upper().replace("Ü", "u")), (3005, f"{prose(r, 30000)} {items[3][1][5:90]} {prose(r, 9)}")]
+    table = spark.createDataFrame(planted + clean + extra, "doc_id long, text string")
+    for block in (8 << 20, 900):
+        got = {(x.doc_id, x.item_id) for x in decontaminate(table, benchmark, block_chars=block).collect()}
+        assert got == {(1000 + k, k) for k in range(20)} | {(None, 0), (3002, 53), (3003, 50), (3004, 54), (3005, 3)}
     assert decontaminate(none, benchmark).collect() == []
     assert decontaminate(docs, benchmark.limit(0)).collect() == []
+    own = spark.createDataFrame([(7, rows[2][1])], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate(docs, own).collect()} == {2, None}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fewest_edits(seed):
+    """Of random texts with damaged passages, repeated characters among them: every leak, with its least edits."""
+    r = random.Random(seed)
+    items = [prose(r, 12) for _ in range(4)] + ["-" * 60, "ab" * 40, "| a | b | " + "---|" * 14, prose(r, 6) + "=" * 30 + prose(r, 6)]
+    texts = []
+    for _ in range(12):
+        t = list(prose(r, r.randint(0, 6)))
+        i = r.choice(items)
+        s = r.randint(0, max(0, len(i) - 40))
+        piece = list(i[s : s + r.randint(20, 60)])
+        for _ in range(r.randint(0, 5)):
+            p = r.randrange(len(piece))
+            piece[p : p + r.randint(0, 1)] = r.choices("ab-= ", k=r.randint(0, 1))
+        at = r.randint(0, len(t))
+        texts.append(normal("".join(t[:at] + piece + t[at:])))
+    known = Items(list(range(len(items))), [normal(i) for i in items], 40, 0.075)
+    got = {(d, i): e for d, i, e, _ in leaks(texts, known)}
+    expected = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(map(normal, items)):
+            w, budget = int(known.window[i]), int(known.budget[i])
+            least = min(sellers(p, t) for p in {x[s : s + w] for s in range(len(x) - w + 1)})
+            if least <= budget:
+                expected[d, i] = least
+    assert expected and got == expected
+
+
+def test_rules_of_dashes():
+    """Long runs of one character in the text and in items: bounded work."""
+    known = Items(list(range(10)), ["-" * 200] * 8 + ["=" * 100, "ab" * 80], 80, 0.075)
+    began = time.process_time()
+    got = leaks(["-" * 300000 + "ab" * 100], known)
+    assert {(i, e) for _, i, e, _ in got} == {*((i, 0) for i in range(8)), (9, 0)}
+    assert time.process_time() - began < 30
 
 
 def test_license_scan(spark, docs, none):

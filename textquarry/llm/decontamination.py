@@ -1,9 +1,15 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Two strings of w characters within e edits share w - q + 1 - q * e q-grams at least, on diagonals that differ by at most
-e. All q-grams of a text that a benchmark item has are found through a hashed table; their counts in overlapping bands of
-diagonals tell which items may match where, a window of hits narrows that to a region, and banded alignment of the item's
-window with the region decides. The benchmark is taken in blocks of bounded size; each block is a pass over the documents.
+e. All q-grams of a text that a benchmark item has are found through a hashed table; the places of the text that have one,
+counted in overlapping bands of diagonals, tell which items may match where; hits close together narrow that to windows of
+the item, and banded alignment of each such window decides.
+
+A q-gram that an item repeats many times (rules of dashes, tables) is filed at every few places only, and bands are wider by
+that step, so that no match is lost and a hit costs a few rows. Long texts are cut to segments that overlap by more than
+a match, and a segment with too many hits is halved, so the work at a time is bounded.
+
+The benchmark is taken in blocks of bounded size, each broadcast; each block is a pass over the documents.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,17 +26,46 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common as C
-from .suffix_dedup import grams8, ramp
-from .words import batches
+from .suffix_dedup import ramp
 
 Q = 8
 TABLE_BITS = 20
-GAP = b"\xff" * Q
+#: Not a character; Q of them end each text.
+END = 0x110000
+#: A q-gram that an item has more often than REPEATS is filed at one place of each STEP.
+REPEATS, STEP = 4, 8
+SEGMENT = 1 << 17
+#: Windows are aligned about places that are multiples of this.
+GRID = 16
+MOST_HITS = 1 << 20
+
+
+def normal(text: str | None) -> str:
+    """Lower case, runs of white space as one space."""
+    return re.sub(r"\s+", " ", (text or "").lower()).strip()
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
-def normal(text: str | None) -> bytes:
-    """Lower case, runs of white space as one space, UTF-8."""
-    return re.sub(r"\s+", " ", (text or "").lower()).strip().encode()
+def grams8(x: np.ndarray) -> np.ndarray:
+    """A hash of each eight characters; those of equal ones are equal."""
+    h = x.astype(np.uint64)
+    for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xBF58476D1CE4E5B9), (4, 0x94D049BB133111EB)):
+        h = h[:-step] * np.uint64(factor) + h[step:] if len(h) > step else h[:0]
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def window_hashes(x: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` characters and their number."""
+    base = 0x9E3779B97F4A7C15
+    power, back = np.full(len(x) + 1, base, np.uint64), np.full(len(x) + 1, pow(base, -1, 1 << 64), np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(x.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
+    return C.mix((sums[width:] - sums[:-width]) * back[: len(x) - width + 1] + np.uint64(width))
 
 
 def slot(grams: np.ndarray) -> np.ndarray:
@@ -37,39 +73,64 @@ def slot(grams: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: windows, budgets and the postings of their q-grams."""
+    """A block of benchmark items: windows, budgets and the postings of their q-grams; those too short for one apart."""
 
-    def __init__(self, ids: list, texts: list[bytes], window: int, edits: float):
+    def __init__(self, ids: list, texts: list[str], window: int, edits: float):
         keep = [i for i, t in enumerate(texts) if len(t) >= Q]
-        self.ids, self.texts = [ids[i] for i in keep], [texts[i] for i in keep]
+        self.ids, self.texts = [ids[i] for i in keep], [points(texts[i]) for i in keep]
+        self.short: dict[str, list] = {}
+        for i, t in zip(ids, texts):
+            if 0 < len(t) < Q:
+                self.short.setdefault(t, []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for t in self.short:
+            self.automaton.add_word(t, t)
+        self.automaton.make_automaton()
         self.window = np.array([min(window, len(t)) for t in self.texts], np.int64)
         # No larger budget than the lemma can filter: at least two q-grams must be shared.
         self.budget = np.array([max(0, min(math.floor(edits * w), (w - Q - 1) // Q)) for w in self.window.tolist()], np.int64)
         self.needed = self.window - Q + 1 - Q * self.budget
-        grams = [grams8(np.frombuffer(t, np.uint8)) for t in self.texts]
+        grams = [grams8(t) for t in self.texts]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         counts = np.array([len(g) for g in grams], np.int64)
         owner, place = np.repeat(np.arange(len(grams)), counts), ramp(counts)
-        order = np.argsort(flat, kind="stable")
-        self.gram, first = np.unique(flat[order], return_index=True)
-        self.first, self.count = first, np.diff(np.append(first, len(flat)))
-        self.owner, self.place = owner[order], place[order]
+        order = np.lexsort((place, owner, flat))
+        flat, owner, place = flat[order], owner[order].astype(np.int32), place[order].astype(np.int32)
+        if len(flat):
+            # Runs of one q-gram in one item; of long runs, the first place of each step.
+            run = np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))
+            start = np.flatnonzero(run)
+            size = np.repeat(np.diff(np.append(start, len(flat))), np.diff(np.append(start, len(flat))))
+            step = place // STEP
+            kept = (size <= REPEATS) | run | np.append(True, step[1:] != step[:-1])
+            flat, owner, place = flat[kept], owner[kept], place[kept]
+        self.gram, first = np.unique(flat, return_index=True)
+        self.first, self.count = first.astype(np.int32), np.diff(np.append(first, len(flat))).astype(np.int32)
+        self.owner, self.place = owner, place
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[slot(self.gram)] = True
-        self.band = int(max(8, 2 * self.budget.max(initial=0) + 2))
-        self.overlap = int(self.budget.max(initial=0))
+        most = int(self.budget.max(initial=0))
+        self.band = max(8, 2 * most + 2)
+        # Diagonals of one match differ by its edits, and by a step where places were left out.
+        self.overlap = most + STEP
+        self.reach = (self.band + self.overlap + 1) // 2 + most + STEP + 1 + GRID // 2
+        self.overhang = int(self.window.max(initial=0)) + most + Q
+        # Each window's number is that of the first with the same characters, by their hash.
+        n = np.array([len(t) for t in self.texts], np.int64) - self.window + 1
+        self.offset = np.cumsum(n) - n
+        self.own, self.start = np.repeat(np.arange(len(n)), n), ramp(n)
+        hashes = np.concatenate([window_hashes(t, int(w)) for t, w in zip(self.texts, self.window)]) if len(n) else np.zeros(0, np.uint64)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        self.same = first[which]
 
 
-def align(pieces: np.ndarray, texts: list[bytes], which: np.ndarray, centre: np.ndarray, budget: int) -> np.ndarray:
-    """For each row of pieces (strings of one length) the fewest edits, budget + 1 if more, to a substring of
-    texts[which] that begins about centre: from reach before it to reach after it, on 2 * reach + 1 diagonals.
+def align(pieces: np.ndarray, text: np.ndarray, centre: np.ndarray, reach: int, budget: int) -> np.ndarray:
+    """For each row of pieces (strings of one length) the fewest edits, budget + 1 if more, to a substring of text that
+    begins about centre: from reach before it to reach after it, on 2 * reach + 1 diagonals.
     """
-    reach = 2 * budget + 2
     width, n = 2 * reach + 1, pieces.shape[1]
-    region = np.full((len(pieces), n + width), 254, np.uint8)
-    for k, (t, low) in enumerate(zip(which.tolist(), (centre - reach).tolist())):
-        part = texts[t][max(0, low) : max(0, low + n + width)]
-        region[k, max(0, -low) : max(0, -low) + len(part)] = np.frombuffer(part, np.uint8)
+    at = (centre - reach)[:, None] + np.arange(n + width)[None, :]
+    region = np.where((at >= 0) & (at < len(text)), text[np.clip(at, 0, len(text) - 1)], END)
     steps = np.arange(width, dtype=np.int16)
     cost = np.zeros((len(pieces), width), np.int16)
     for i in range(n):
@@ -80,115 +141,181 @@ def align(pieces: np.ndarray, texts: list[bytes], which: np.ndarray, centre: np.
     return np.minimum(cost.min(1), budget + 1)
 
 
-def leaks(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int]]:
-    """(text, item, edits, place) of each item that has a window in the text, with the fewest edits found for it."""
-    if not len(items.gram):
-        return []
-    raw = GAP.join(texts) + GAP
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + Q
-    ends = np.cumsum(sizes)
-    g = grams8(np.frombuffer(raw, np.uint8))
+def candidates(text: np.ndarray, items: Items):
+    """(item, window, where its start falls in the text) of the windows to align; None if there are too many hits.
+
+    text may be several texts, END after each.
+    """
+    g = grams8(text)
     at = np.flatnonzero(items.table[slot(g)])
     near = np.minimum(np.searchsorted(items.gram, g[at]), len(items.gram) - 1)
     real = items.gram[near] == g[at]
     at, near = at[real], near[real]
-    n = items.count[near]
-    post = np.repeat(items.first[near], n) + ramp(n)
+    n = items.count[near].astype(np.int64)
+    if n.sum() > MOST_HITS and len(text) > 4 * items.overhang:
+        return None
+    post = np.repeat(items.first[near].astype(np.int64), n) + ramp(n)
     at = np.repeat(at, n)
-    item, place = items.owner[post], items.place[post]
-    doc = np.searchsorted(ends, at, "right")
-    # Diagonals are counted from the start of the text, shifted by the longest item so that none is negative.
+    item, place = items.owner[post].astype(np.int64), items.place[post].astype(np.int64)
     longest = max(map(len, items.texts))
-    diagonal = at - (ends - sizes)[doc] - place + longest
-    per = int((diagonal.max(initial=0)) // items.band + 2)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for shift in (0, 1):
-        # A band of width band + overlap: each hit also counts in the band before, if it lies in the overlap.
+    diagonal = at - place + longest
+    per = int(diagonal.max(initial=0) // items.band + 2)
+    keys, who = [], []
+    # A band of width band + overlap: each hit also counts in the bands before whose overlap it lies in.
+    for shift in range(items.overlap // items.band + 2):
         band = diagonal // items.band - shift
-        inside = np.ones(len(band), bool) if not shift else (diagonal % items.band < items.overlap) & (band >= 0)
-        key = (doc[inside] * len(items.ids) + item[inside]) * per + band[inside]
-        keys_, who = (key, np.flatnonzero(inside)) if not shift else (np.concatenate((keys_, key)), np.concatenate((who, np.flatnonzero(inside))))
-    distinct, count = np.unique(keys_, return_counts=True)
-    enough = distinct[count >= items.needed[(distinct // per) % len(items.ids)]]
-    if not len(enough):
-        return []
-    chosen = np.flatnonzero(np.isin(keys_, enough))
-    chosen = chosen[np.lexsort((place[who[chosen]], keys_[chosen]))]
-    # An item's q-gram counts once, wherever else in the band the text has it.
-    chosen = chosen[np.append(True, (np.diff(keys_[chosen]) != 0) | (np.diff(place[who[chosen]]) != 0))]
-    begin = np.flatnonzero(np.diff(keys_[chosen], prepend=-1))
-    groups = []
-    for s, e in zip(begin.tolist(), np.append(begin[1:], len(chosen)).tolist()):
-        hit = who[chosen[s:e]]
-        d, i = int(doc[hit[0]]), int(item[hit[0]])
-        w, need = int(items.window[i]), int(items.needed[i])
-        p, diag = place[hit], diagonal[hit] - longest
-        # `need` hits within the q-grams of one window of the item; any window that holds them may be the one.
-        close = np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] <= w - Q) if len(p) >= need else np.zeros(0, np.int64)
-        if len(close):
-            top, bottom = np.minimum(p[close], len(items.texts[i]) - w), np.maximum(0, p[close + need - 1] + Q - w)
-            groups.append((d, i, top, bottom, [int(np.median(diag[k : k + need])) for k in close.tolist()]))
-
-    def verify(tries: list[tuple[int, int, int, int]]) -> None:
-        by: dict[tuple[int, int], list] = {}
-        for t in tries:
-            by.setdefault((int(items.window[t[1]]), int(items.budget[t[1]])), []).append(t)
-        for (w, budget), own in by.items():
-            for s in range(0, len(own), 4096):
-                part = own[s : s + 4096]
-                pieces = np.stack([np.frombuffer(items.texts[i], np.uint8, w, start) for _, i, start, _ in part])
-                found = align(pieces, texts, np.array([t[0] for t in part]), np.array([start + c for _, _, start, c in part]), budget)
-                for (d, i, start, c), x in zip(part, found.tolist()):
-                    if x <= budget:
-                        best[d, i] = min(best.get((d, i), (budget + 1, 0)), (x, max(0, start + c)))
-
-    verify([(d, i, int(top[0]), centre[0]) for d, i, top, _, centre in groups])
-    rest: dict[tuple[int, int, int, int], None] = {}
-    for d, i, top, bottom, centre in groups:
-        if (d, i) not in best:
-            last = None
-            for x, y, c in zip(top.tolist(), bottom.tolist(), centre):
-                # Windows follow one another; those tried about the same diagonal are not tried again.
-                for start in range(min(x, y), x + 1):
-                    if last is None or start > last or abs(c - near_) > 2:
-                        rest[d, i, start, c] = None
-                last, near_ = x, c
-    verify(list(rest))
-    return [(d, i, edits, where) for (d, i), (edits, where) in sorted(best.items())]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: float = 0.075, block_bytes: int = 4 << 20) -> DataFrame:
+        inside = np.flatnonzero((band >= 0) & (diagonal - band * items.band < items.band + items.overlap))
+        keys.append(item[inside] * per + band[inside])
+        who.append(inside)
+    keys, who = np.concatenate(keys), np.concatenate(who)
+    # A first look at numbers, then at distinct places of the text.
+    distinct, first, count = np.unique(keys, return_inverse=True, return_counts=True)
+    some = (count >= items.needed[distinct // per])[first]
+    keys, who = keys[some], who[some]
+    order = np.lexsort((at[who], keys))
+    keys, who = keys[order], who[order]
+    p = at[who]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (p[1:] != p[:-1])) if len(keys) else np.zeros(0, bool)
+    fresh = np.flatnonzero(new)
+    key, p = keys[fresh], p[fresh]
+    own = key // per
+    need, w, budget = items.needed[own], items.window[own], items.budget[own]
+    # `need` places close together: inside one window and its edits.
+    ahead = np.arange(len(key)) + need - 1
+    inside = ahead < len(key)
+    last = np.minimum(ahead, len(key) - 1)
+    close = np.flatnonzero(inside & (key[last] == key) & (p[last] - p <= w - Q + budget)) if len(key) else np.zeros(0, np.int64)
+    if not len(close):
+        return np.zeros((0, 3), np.int64)
+    # A window that holds them starts, in the text, between the end of the last less its length and the first, give or take
+    # its edits; in the item that is so much less the diagonals of the band.
+    item, band = own[close], key[close] % per
+    top = band * items.band - longest
+    centre = top + (items.band + items.overlap) // 2
+    slack = (items.band + items.overlap + 1) // 2 + STEP + budget[close]
+    low = np.maximum(0, p[last[close]] + Q - w[close] - budget[close] - centre - slack)
+    size = np.array([len(t) for t in items.texts])[item]
+    high = np.minimum(size - w[close], p[close] + budget[close] - centre + slack)
+    n = np.maximum(0, high - low + 1)
+    starts = np.repeat(low, n) + ramp(n)
+    item, where = np.repeat(item, n), starts + np.repeat(centre, n)
+    return np.unique(np.stack((item, items.same[items.offset[item] + starts], (where + GRID // 2) // GRID * GRID), 1), axis=0)
+
+
+def fewest_edits(text: np.ndarray, starts: np.ndarray, items: Items, found: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, edits, where) of the items with a window within its budget; starts: where the texts begin."""
+    # A window may begin as far before its text as it is aligned about, and by its edits more.
+    owner = np.searchsorted(starts, np.maximum(0, found[:, 2] + 2 * items.reach), "right") - 1
+    tries, which = np.unique(found[:, 1:], axis=0, return_inverse=True)
+    which = which.ravel()
+    window, budget = items.window[items.own[tries[:, 0]]], items.budget[items.own[tries[:, 0]]]
+    edits = np.full(len(tries), 1 << 20)
+
+    def verify(rows: np.ndarray) -> None:
+        for w, e in {*zip(window[rows].tolist(), budget[rows].tolist())}:
+            own = rows[(window[rows] == w) & (budget[rows] == e)]
+            for s in range(0, len(own), 2048):
+                part = tries[own[s : s + 2048]]
+                pieces = np.stack([items.texts[i][p : p + w] for i, p in zip(items.own[part[:, 0]].tolist(), items.start[part[:, 0]].tolist())])
+                edits[own[s : s + 2048]] = align(pieces, text, part[:, 1], items.reach, e)
+
+    # One window in sixteen first: an exact copy is found by these, and needs no others.
+    verify(np.arange(0, len(tries), 16))
+    pair = owner * len(items.ids) + found[:, 0]
+    exact = np.isin(pair, pair[edits[which] == 0])
+    verify(np.setdiff1d(np.unique(which[~exact]), np.arange(0, len(tries), 16)))
+    order = np.lexsort((found[:, 2], edits[which], pair))
+    first = order[np.append(True, np.diff(pair[order]) != 0)]
+    good = first[edits[which[first]] <= budget[which[first]]]
+    return list(zip(owner[good].tolist(), found[good, 0].tolist(), edits[which[good]].tolist(), np.maximum(0, found[good, 2]).tolist()))
+
+
+def leaks(texts: list[str], items: Items) -> list[tuple[int, object, int, int]]:
+    """(text, item's id, edits, place) of each item that has a window in the text, with its fewest edits."""
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    out = []
+    if items.short:
+        for d, t in enumerate(texts):
+            seen: dict[str, int] = {}
+            for end, word in items.automaton.iter(t):
+                s, e = end + 1 - len(word), end + 1
+                if word not in seen and not (s and t[s - 1].isalnum() and word[0].isalnum()) and not (e < len(t) and t[e].isalnum() and word[-1].isalnum()):
+                    seen[word] = s
+            out += [(d, i, 0, s) for word, s in seen.items() for i in items.short[word]]
+
+    def search(text: np.ndarray, starts: np.ndarray, first: int, base: int) -> None:
+        """A run of whole texts, or a segment of one, which begins at base."""
+        found = candidates(text, items)
+        if found is None:
+            half = len(text) // 2
+            search(text[: half + items.overhang], starts, first, base)
+            cut = int(np.searchsorted(starts, half, "right")) - 1
+            search(text[half:], np.concatenate(([0], starts[cut + 1 :] - half)), first + cut, base + half if not cut else half - int(starts[cut]))
+        elif len(found):
+            for k, i, edits, where in fewest_edits(text, starts, items, found):
+                own = max(0, where - int(starts[k])) + (base if k == 0 else 0)
+                best[first + k, i] = min(best.get((first + k, i), (1 << 30, 0)), (edits, own))
+
+    if items.texts:
+        gap, held, starts, first, total = np.full(items.overhang + 4 * items.reach, END, np.uint32), [], [], 0, 0
+        for d, t in enumerate(texts):
+            x = points(t)
+            if len(x) > SEGMENT:
+                for s in range(0, len(x), SEGMENT):
+                    search(np.concatenate((x[s : s + SEGMENT + items.overhang], gap)), np.zeros(1, np.int64), d, s)
+                x = x[:0]
+            held += [x, gap]
+            starts.append(total)
+            total += len(x) + len(gap)
+            if total >= SEGMENT or d + 1 == len(texts):
+                search(np.concatenate(held), np.array(starts), first, 0)
+                held, starts, first, total = [], [], d + 1, 0
+    return out + [(d, items.ids[i], edits, where) for (d, i), (edits, where) in sorted(best.items())]
+
+
+#: The block that this worker has built last.
+BUILT: dict = {}
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 80, edits: float = 0.075, block_chars: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, edits, place: one row per row of docs and benchmark item that leaks into it.
 
-    An item leaks if a window of it (80 bytes, all of a shorter item) is in the text within edits times its length of
-    edits, where an edit changes a byte; both in lower case, with runs of white space as one space. place is about where.
+    An item leaks if a window of it (80 characters, all of a shorter item) is in the text within edits times its length of
+    edits, where an edit changes a character; both in lower case, with runs of white space as one space. edits is the
+    least of all its windows; place is about where, in characters. Items of fewer than eight characters, which have no
+    8-gram, leak if they are in the text as they are, at bounds of words; edits is 0.
 
-    Items shorter than eight bytes are too short to be told from chance and are left out. Null or empty texts and items:
-    no rows. Null ids pass through. Repeated rows repeat their rows. Empty tables: empty result. Extra columns are ignored.
+    Null or empty texts and items: no rows. Null ids pass through. Repeated rows repeat their rows, and so do repeated
+    items. Empty tables: empty result. Extra columns are ignored. Texts of any length are searched whole.
     """
-    items = benchmark.select("item_id", "text").where(F.octet_length("text") >= Q)
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    spark = docs.sparkSession
+    items = benchmark.select("item_id", "text").where(F.length("text") > 0)
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_chars))
     item_type = benchmark.schema["item_id"].dataType
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), T.StructField("edits", T.LongType()), T.StructField("place", T.LongType())])
     arrow = to_arrow_schema(out)
 
-    def searched(block: Items):
+    def searched(block):
         def search(parts):
-            for batch in parts:
-                for s in range(0, batch.num_rows, 2000):
-                    b = pa.Table.from_batches([batch.slice(s, 2000)])
-                    ids, texts = b.column("doc_id").to_pylist(), [normal(x) for x in b.column("text").to_pylist()]
-                    for x, y in batches(texts, 1 << 19):
-                        if rows := [(ids[x + d], block.ids[i], e, p) for d, i, e, p in leaks(texts[x:y], block)]:
-                            yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], names=arrow.names).to_batches()
+            key = (block._path if hasattr(block, "_path") else None, window, edits)
+            known = BUILT.get(key) if key[0] else None
+            if known is None:
+                known = Items(*block.value, window, edits)
+                BUILT.clear()
+                BUILT[key] = known
+            for b in C.batched(parts, 2000, 1 << 20):
+                ids, texts = b.column("doc_id").to_pylist(), [normal(x) for x in b.column("text").to_pylist()]
+                if rows := [(ids[d], i, e, p) for d, i, e, p in leaks(texts, known)]:
+                    yield from pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], names=arrow.names).to_batches()
 
         return docs.select("doc_id", "text").mapInArrow(search, out)
 
     found = None
     for k in range(blocks):
+        # A block is bounded by block_chars.
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        part = searched(Items([r.item_id for r in own], [normal(r.text) for r in own], window, edits))
+        part = searched(spark.sparkContext.broadcast(([r.item_id for r in own], [normal(r.text) for r in own])))
         found = part if found is None else found.unionByName(part)
     return found
 
