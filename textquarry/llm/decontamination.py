@@ -103,6 +103,8 @@ class Items:
             size = np.repeat(np.diff(np.append(start, len(flat))), np.diff(np.append(start, len(flat))))
             step = place // STEP
             kept = (size <= REPEATS) | run | np.append(True, step[1:] != step[:-1])
+            self.thin = np.zeros(len(grams), bool)
+            self.thin[owner[~kept]] = True
             flat, owner, place = flat[kept], owner[kept], place[kept]
         self.gram, first = np.unique(flat, return_index=True)
         self.first, self.count = first.astype(np.int32), np.diff(np.append(first, len(flat))).astype(np.int32)
@@ -142,7 +144,7 @@ def align(pieces: np.ndarray, text: np.ndarray, centre: np.ndarray, reach: int,
 
 
 def candidates(text: np.ndarray, items: Items):
-    """(item, window, where its start falls in the text) of the windows to align; None if there are too many hits.
+    """(item, window, where its start falls in the text, least edits) of the windows to align; None if there are too many hits.
 
     text may be several texts, END after each.
     """
@@ -168,66 +170,98 @@ def candidates(text: np.ndarray, items: Items):
         keys.append(item[inside] * per + band[inside])
         who.append(inside)
     keys, who = np.concatenate(keys), np.concatenate(who)
-    # A first look at numbers, then at distinct places of the text.
-    distinct, first, count = np.unique(keys, return_inverse=True, return_counts=True)
-    some = (count >= items.needed[distinct // per])[first]
+    # A first look at how many fall in one cell of a table, then at distinct places.
+    cell = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    some = np.bincount(cell, minlength=1 << TABLE_BITS)[cell] >= items.needed[keys // per]
     keys, who = keys[some], who[some]
-    order = np.lexsort((at[who], keys))
-    keys, who = keys[order], who[order]
-    p = at[who]
-    new = np.append(True, (keys[1:] != keys[:-1]) | (p[1:] != p[:-1])) if len(keys) else np.zeros(0, bool)
-    fresh = np.flatnonzero(new)
-    key, p = keys[fresh], p[fresh]
+    found = []
+    for thin in (False, True):
+        use = items.thin[keys // per] == thin
+        # Places of the item, or of the text where the item's aren't all filed; each counts once in a band.
+        found.append(windows(keys[use], at[who[use]] if thin else place[who[use]], thin, per, longest, items))
+    return np.concatenate(found)
+
+
+def windows(keys: np.ndarray, p: np.ndarray, thin: bool, per: int, longest: int, items: Items) -> np.ndarray:
+    """(item, window, where, least edits that its q-grams allow) of the windows with enough of the places p."""
+    order = np.lexsort((p, keys))
+    key, p = keys[order], p[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (p[1:] != p[:-1])) if len(key) else np.zeros(0, bool)
+    key, p = key[new], p[new]
     own = key // per
-    need, w, budget = items.needed[own], items.window[own], items.budget[own]
-    # `need` places close together: inside one window and its edits.
+    need, w, budget = items.needed[own], items.window[own], items.budget[own] * thin
+    # `need` places close together: inside one window, of the text with its edits.
     ahead = np.arange(len(key)) + need - 1
-    inside = ahead < len(key)
     last = np.minimum(ahead, len(key) - 1)
-    close = np.flatnonzero(inside & (key[last] == key) & (p[last] - p <= w - Q + budget)) if len(key) else np.zeros(0, np.int64)
+    close = np.flatnonzero((ahead < len(key)) & (key[last] == key) & (p[last] - p <= w - Q + budget)) if len(key) else np.zeros(0, np.int64)
     if not len(close):
-        return np.zeros((0, 3), np.int64)
-    # A window that holds them starts, in the text, between the end of the last less its length and the first, give or take
-    # its edits; in the item that is so much less the diagonals of the band.
-    item, band = own[close], key[close] % per
-    top = band * items.band - longest
-    centre = top + (items.band + items.overlap) // 2
-    slack = (items.band + items.overlap + 1) // 2 + STEP + budget[close]
-    low = np.maximum(0, p[last[close]] + Q - w[close] - budget[close] - centre - slack)
-    size = np.array([len(t) for t in items.texts])[item]
-    high = np.minimum(size - w[close], p[close] + budget[close] - centre + slack)
+        return np.zeros((0, 4), np.int64)
+    k, last, item, w, budget = key[close], last[close], own[close], w[close], budget[close]
+    centre = (k % per) * items.band - longest + (items.band + items.overlap) // 2
+    # In the text, a window that holds them lies about them by its edits; in the item, by the diagonals of the band less.
+    slack = (items.band + items.overlap + 1) // 2 + STEP + budget if thin else 0
+    shift = centre if thin else 0
+    low = np.maximum(0, p[last] + Q - w - budget - shift - slack)
+    high = np.minimum(np.array([len(t) for t in items.texts])[item] - w, p[close] + budget - shift + slack)
+    if thin:
+        # One range for a band: where a q-gram repeats, nearly all windows are in it.
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        k, item, w, centre = k[first], item[first], w[first], centre[first]
+    else:
+        # Ranges of one band ascend; none is said twice.
+        low[1:] = np.where(k[1:] == k[:-1], np.maximum(low[1:], high[:-1] + 1), low[1:])
     n = np.maximum(0, high - low + 1)
-    starts = np.repeat(low, n) + ramp(n)
-    item, where = np.repeat(item, n), starts + np.repeat(centre, n)
-    return np.unique(np.stack((item, items.same[items.offset[item] + starts], (where + GRID // 2) // GRID * GRID), 1), axis=0)
+    start, item, where = np.repeat(low, n) + ramp(n), np.repeat(item, n), np.repeat(centre, n)
+    bound = np.zeros(len(start), np.int64)
+    if not thin:
+        # Each q-gram that is missing is hit by an edit, and an edit hits Q of them.
+        wide = np.int64(1 << 32)
+        flat, k, w = key * wide + p, np.repeat(k, n), np.repeat(w, n)
+        c = np.searchsorted(flat, k * wide + start + w - Q, "right") - np.searchsorted(flat, k * wide + start)
+        bound = np.maximum(0, -((c - (w - Q + 1)) // Q))
+    where = (start + where + GRID // 2) // GRID * GRID
+    columns = (bound, where, items.same[items.offset[item] + start], item)
+    order = np.lexsort(columns)
+    rows = np.stack(columns[::-1], 1)[order]
+    # Of equal ones the least bound.
+    return rows[np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1))]
 
 
 def fewest_edits(text: np.ndarray, starts: np.ndarray, items: Items, found: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(text, item, edits, where) of the items with a window within its budget; starts: where the texts begin."""
     # A window may begin as far before its text as it is aligned about, and by its edits more.
     owner = np.searchsorted(starts, np.maximum(0, found[:, 2] + 2 * items.reach), "right") - 1
-    tries, which = np.unique(found[:, 1:], axis=0, return_inverse=True)
-    which = which.ravel()
-    window, budget = items.window[items.own[tries[:, 0]]], items.budget[items.own[tries[:, 0]]]
-    edits = np.full(len(tries), 1 << 20)
+    pair = owner * len(items.ids) + found[:, 0]
+    order = np.lexsort((found[:, 3], pair))
+    found, pair, owner = found[order], pair[order], owner[order]
+    new = np.append(True, pair[1:] != pair[:-1])
+    rank, group = ramp(np.diff(np.append(np.flatnonzero(new), len(pair)))), np.cumsum(new) - 1
+    edits, budget = np.full(len(found), 1 << 20), items.budget[found[:, 0]]
+    best = np.full(group[-1] + 1, 1 << 20)
 
     def verify(rows: np.ndarray) -> None:
-        for w, e in {*zip(window[rows].tolist(), budget[rows].tolist())}:
-            own = rows[(window[rows] == w) & (budget[rows] == e)]
-            for s in range(0, len(own), 2048):
-                part = tries[own[s : s + 2048]]
+        # A rule of dashes has one window, wherever it starts, and so have items that share a passage.
+        tries, which = np.unique(found[rows, 1:3], axis=0, return_inverse=True)
+        window, most, result = items.window[items.own[tries[:, 0]]], items.budget[items.own[tries[:, 0]]], np.zeros(len(tries), np.int64)
+        for w, e in {*zip(window.tolist(), most.tolist())}:
+            own = np.flatnonzero((window == w) & (most == e))
+            for s in range(0, len(own), 1024):
+                part = tries[own[s : s + 1024]]
                 pieces = np.stack([items.texts[i][p : p + w] for i, p in zip(items.own[part[:, 0]].tolist(), items.start[part[:, 0]].tolist())])
-                edits[own[s : s + 2048]] = align(pieces, text, part[:, 1], items.reach, e)
-
-    # One window in sixteen first: an exact copy is found by these, and needs no others.
-    verify(np.arange(0, len(tries), 16))
-    pair = owner * len(items.ids) + found[:, 0]
-    exact = np.isin(pair, pair[edits[which] == 0])
-    verify(np.setdiff1d(np.unique(which[~exact]), np.arange(0, len(tries), 16)))
-    order = np.lexsort((found[:, 2], edits[which], pair))
+                result[own[s : s + 1024]] = align(pieces, text, part[:, 1], items.reach, e)
+        edits[rows] = result[which.ravel()]
+        np.minimum.at(best, group[rows], edits[rows])
+
+    # In order of their bounds; what can't be better than what is known isn't aligned.
+    for low, high in ((0, 2), (2, 16), (16, 128), (128, len(found))):
+        rows = np.flatnonzero((rank >= low) & (rank < high) & (found[:, 3] < best[group]) & (found[:, 3] <= budget))
+        if len(rows):
+            verify(rows)
+    order = np.lexsort((found[:, 2], edits, pair))
     first = order[np.append(True, np.diff(pair[order]) != 0)]
-    good = first[edits[which[first]] <= budget[which[first]]]
-    return list(zip(owner[good].tolist(), found[good, 0].tolist(), edits[which[good]].tolist(), np.maximum(0, found[good, 2]).tolist()))
+    good = first[edits[first] <= budget[first]]
+    return list(zip(owner[good].tolist(), found[good, 0].tolist(), edits[good].tolist(), np.maximum(0, found[good, 2]).tolist()))
 
 
 def leaks(texts: list[str], items: Items) -> list[tuple[int, object, int, int]]:
