@@ -9,8 +9,9 @@ To split that work, strings are routed by content, so that equal strings meet in
 1. Every window of min_len bytes has the least hash of its k-grams as fingerprint. Groups of documents send their
    distinct fingerprints to buckets, which answer which of them several documents have. Windows without such a
    fingerprint occur in one document only.
-2. The other windows, joined to pieces along runs with the same least hash of 8-grams, go to the bucket of that hash;
-   equal pieces of a group travel once, with the smallest doc_id.
+2. The other windows, joined to pieces along runs with the same least hash of 16-grams, go to the bucket of that hash;
+   equal pieces of a group travel once, with the smallest doc_id. Strings of 16 bytes are seldom common, so a bucket is
+   seldom hot; what makes one so, a passage that very many documents share, folds in each group.
 3. A bucket concatenates its distinct pieces, makes the transform, and takes the smallest doc_id over each class of
    equal windows. Groups get that number for each window of their pieces and mark the windows of later documents.
 """
@@ -31,7 +32,9 @@ from .common import bucket_slices, compress, expand, freeze, mix, pack_sorted, s
 
 NULL_ID = (1 << 63) - 1
 CHUNK = 1 << 20
-GRAM = 8
+GRAM = 16
+#: Buckets for each group of documents.
+BUCKETS_A_GROUP = 4
 LONGEST_RUN = 64
 
 
@@ -56,6 +59,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
+def grams16(g: np.ndarray) -> np.ndarray:
+    """A hash of each 16 bytes, from the 8-grams."""
+    return mix((mix(g[:-8]) ^ g[8:]) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def fingerprints(g: np.ndarray, min_len: int) -> np.ndarray:
     """For each window of min_len bytes the least hash (48 bits) of its k-grams; g: the 8-grams."""
     parts = max(1, min_len // 16)
@@ -223,14 +231,14 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
     Removed is each byte covered by a string of min_len bytes of the text that also starts in a document with a smaller
     doc_id. Strings are those of the input; overlapping ones count.
 
-    Null text: empty. Null doc_id: after all others, and not earlier than one another. Rows that share a doc_id are one
+    doc_id is an integer. Null text: empty. Null doc_id: after all others, and not earlier than one another. Rows that share a doc_id are one
     document: none is earlier. Empty table: empty result. Extra columns are ignored. Texts of any length are read in
     segments of 1 MB that overlap by min_len - 1 bytes.
     """
     if min_len < 16:
         raise ValueError("min_len must be 16 or more")
     groups = groups or C.group_count(docs)
-    buckets = groups
+    buckets = BUCKETS_A_GROUP * groups
     packed = C.pack(docs.select("doc_id", "text"), groups)
 
     def ids_of(table):
@@ -286,7 +294,7 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
             if not hit.any():
                 continue
             window = np.repeat(at[hit], n[hit]) + ramp(n[hit])
-            least = sliding_min(mix(chunk.grams), min_len - GRAM + 1)[window]
+            least = sliding_min(grams16(chunk.grams), min_len - GRAM + 1)[window]
             s, n = runs_of(least, window)
             parts = -(-n // LONGEST_RUN)
             step = ramp(parts) * LONGEST_RUN
