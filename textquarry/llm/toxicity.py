@@ -97,18 +97,51 @@ class Convolution:
 
 def log_odds(ids: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Per bucket how much more often texts of class 1 have it, 0 where that may be chance."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    pairs = np.unique(np.repeat(owner, ids.shape[1]).astype(np.int64) * BUCKETS + ids.ravel())
-    bucket, hot = pairs % BUCKETS, labels[pairs // BUCKETS] > 0
-    a, b = np.bincount(bucket[hot], minlength=BUCKETS), np.bincount(bucket[~hot], minlength=BUCKETS)
+    a, b = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    ends = np.cumsum(counts)
+    for s in range(0, len(counts), 500):
+        n = counts[s : s + 500]
+        own = ids[ends[s] - counts[s] : ends[s + len(n) - 1]]
+        pairs = np.unique(np.repeat(np.repeat(np.arange(len(n)), n), ids.shape[1]).astype(np.int64) * BUCKETS + own.ravel())
+        bucket, hot = pairs % BUCKETS, labels[s + pairs // BUCKETS] > 0
+        a += np.bincount(bucket[hot], minlength=BUCKETS)
+        b += np.bincount(bucket[~hot], minlength=BUCKETS)
     odds = np.log((a + 0.5) / (labels.sum() + 1)) - np.log((b + 0.5) / (len(labels) - labels.sum() + 1))
     sure = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     return np.where((sure > 2.2) & (a > 1), odds, 0).astype(np.float32)
 
 
+def backward(net: Convolution, rows: np.ndarray, start: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    """Gradients of the weighted log loss of a batch: of filters, bias, out and out_bias, and (buckets, gradients) of the embedding."""
+    top, maps, x = net.pooled(rows, start, n)
+    p = 1 / (1 + np.exp(-(top @ net.out + net.out_bias[0])))
+    d = ((p - y) * weight / len(y)).astype(np.float32)
+    grads: list = [*[np.zeros_like(f) for f in net.filters], *[np.zeros_like(b) for b in net.bias], top.T @ d, np.array([d.sum()], np.float32)]
+    back = d[:, None] * net.out[None, :] * (top > 0)
+    touched, deltas, at = [], [], 0
+    for k, (m, f) in enumerate(zip(maps, net.filters)):
+        for c in range(f.shape[2]):
+            place = np.array([a - 2 + m[a - 2 : a + s, c].argmax() for a, s in zip(start, n)])
+            g = back[:, at + c]
+            for j in range(len(f)):
+                grads[k][j, :, c] += g @ x[place + j]
+                touched.append(rows[place + j])
+                deltas.append(g[:, None] * f[j, :, c][None, :])
+            grads[len(net.filters) + k][c] += g.sum()
+        at += f.shape[2]
+    who, delta = np.concatenate(touched), np.concatenate(deltas)
+    flat, which = np.unique(who.ravel(), return_inverse=True)
+    g = np.zeros((len(flat), DIM), np.float32)
+    np.add.at(g, which, np.repeat(delta, who.shape[1], 0))
+    g[flat == 0] = 0
+    return grads, flat, g
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.003, seed: int = 7) -> Convolution:
     net, r = Convolution(seed), np.random.default_rng(seed)
-    ids, counts, _ = buckets_of(lowered(texts))
+    # A megabyte at a time: hashing words takes some fifty bytes for each of a text.
+    parts = [buckets_of(lowered(texts[s:e]))[:2] for s, e in batches(texts)]
+    ids, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     ends = np.cumsum(counts)
     net.embed[:, 0] = log_odds(ids, counts, labels) / 2
     params = [net.embed, *net.filters, *net.bias, net.out, net.out_bias]
@@ -121,32 +154,13 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
             pick = order[s : s + batch]
             n = counts[pick]
             rows, start = net.laid_out(np.concatenate([ids[ends[i] - counts[i] : ends[i]] for i in pick]), n)
-            top, maps, x = net.pooled(rows, start, n)
-            p = 1 / (1 + np.exp(-(top @ net.out + net.out_bias[0])))
-            d = ((p - labels[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            grads: list = [None, *[np.zeros_like(f) for f in net.filters], *[np.zeros_like(b) for b in net.bias], top.T @ d + 1e-4 * net.out, np.array([d.sum()], np.float32)]
-            back = d[:, None] * net.out[None, :] * (top > 0)
-            touched, deltas, at = [], [], 0
-            for k, (y, f) in enumerate(zip(maps, net.filters)):
-                for c in range(f.shape[2]):
-                    place = np.array([a - 2 + y[a - 2 : a + m, c].argmax() for a, m in zip(start, n)])
-                    g = back[:, at + c]
-                    for j in range(len(f)):
-                        grads[1 + k][j, :, c] += g @ x[place + j]
-                        touched.append(rows[place + j])
-                        deltas.append(g[:, None] * f[j, :, c][None, :])
-                    grads[1 + len(net.filters) + k][c] += g.sum()
-                at += f.shape[2]
-            who, delta = np.concatenate(touched), np.concatenate(deltas)
-            flat, which = np.unique(who.ravel(), return_inverse=True)
-            g = np.zeros((len(flat), DIM), np.float32)
-            np.add.at(g, which, np.repeat(delta, who.shape[1], 0))
-            g[flat == 0] = 0
+            grads, flat, g = backward(net, rows, start, n, labels[pick], weight[pick])
+            grads[-2] += 1e-4 * net.out
             step += 1
             scale = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for i, p_ in enumerate(params):
                 sel = flat if i == 0 else slice(None)
-                gr = g if i == 0 else grads[i]
+                gr = g if i == 0 else grads[i - 1]
                 first[i][sel] = 0.9 * first[i][sel] + 0.1 * gr
                 second[i][sel] = 0.999 * second[i][sel] + 0.001 * gr * gr
                 p_[sel] -= scale * first[i][sel] / (np.sqrt(second[i][sel]) + 1e-7)
@@ -190,20 +204,21 @@ def calibrated(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 48 << 20) -> tuple[Convolution, np.ndarray]:
     """The network and the thresholds, from at most `sample` labelled rows of each class and `sample_bytes` of text.
 
-    Rows are taken in order of a hash of doc_id, so that reruns agree. Three in four train, the others calibrate.
+    Rows are taken in order of a hash of doc_id, so that reruns agree. Three in four train, the others calibrate. The limit
+    of bytes is applied by sums of sizes before any text moves; ids whose rows have more than a quarter of it are left out.
     """
     use = labels.where((F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1) & F.col("toxic").isNotNull())
     use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit("toxicity")))
     picked = [use.where(F.col("toxic") == c).orderBy("h").limit(sample) for c in (0, 1)]
     # At most 2 * sample rows; a broadcast of that size is bounded.
     chosen = picked[0].unionByName(picked[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("h", "text").select("text", "toxic", "h", F.octet_length("text").alias("n"))
-    found, total = [], 0
-    for r in rows.toLocalIterator():
-        total += r.n or 0
-        if total > sample_bytes and found:
-            break
-        found.append(((r.text or "").encode(), r.toxic, r.h % 4 == 3))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sizes = rows.groupBy("h").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).where(F.col("n") <= sample_bytes // 4).orderBy("h").collect()
+    upto = np.cumsum([x.n for x in sizes])
+    use = [x.h for x, n in zip(sizes, upto) if n <= sample_bytes]
+    # A list of at most 2 * sample numbers.
+    rows = rows.where(F.col("h").isin(use)).orderBy("h", "text").select("text", "toxic", "h")
+    found = [((r.text or "").encode(), r.toxic, r.h % 4 == 3) for r in rows.toLocalIterator()] if use else []
     if not any(t for _, t, _ in found) or all(t for _, t, _ in found):
         return Convolution(), np.full(len(LANGUAGES) + 1, 0.999)
     texts, y, held = [t for t, _, _ in found], np.array([t for _, t, _ in found], np.float32), np.array([h for _, _, h in found])
@@ -225,14 +240,10 @@ def toxicity(docs: DataFrame, net: Convolution, at: np.ndarray) -> DataFrame:
     arrow = to_arrow_schema(out)
 
     def score(parts):
-        for batch in parts:
-            for s in range(0, batch.num_rows, 1000):
-                b = pa.Table.from_batches([batch.slice(s, 1000)])
-                if not b.num_rows:
-                    continue
-                raw, langs = raw_scores(net, C.texts_of(b))
-                final = calibrated(raw, at[langs])
-                yield from pa.Table.from_arrays([b.column("doc_id"), pa.array(final), pa.array((final >= 0.7).astype(np.int32))], names=arrow.names).cast(arrow).to_batches()
+        for b in C.batched(parts, 1000):
+            raw, langs = raw_scores(net, C.texts_of(b))
+            final = calibrated(raw, at[langs])
+            yield from pa.Table.from_arrays([b.column("doc_id"), pa.array(final), pa.array((final >= 0.7).astype(np.int32))], names=arrow.names).cast(arrow).to_batches()
 
     return docs.select("doc_id", "text").mapInArrow(score, out)
 
