@@ -20,7 +20,7 @@ from textquarry.llm.mixing import mix_sources, unit_hash
 from textquarry.llm.near_dedup import components, near_duplicates, probability_jaccard, signatures, weighted
 from textquarry.llm.quality_rules import quality_rules
 from textquarry.llm.suffix_dedup import earliest, suffix_dedup
-from textquarry.llm.toxicity import LANGUAGES, Convolution, fit, toxicity
+from textquarry.llm.toxicity import LANGUAGES, Convolution, backward, buckets_of, fit, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g int, blob string, `to` string, words string, bands int, kept boolean, key double, bin int, size long, target long, n_lines string, limit double, score string"
 ALPHA = [bytes([c]).decode() for c in range(97, 123)]
@@ -221,6 +221,51 @@ def test_toxicity(spark, docs, rows, none):
     assert isinstance(empty, Convolution) and len(at) == len(LANGUAGES) + 1
 
 
+def test_convolution():
+    """Forward by words and windows told plainly, and gradients by differences."""
+    r = np.random.default_rng(5)
+    net = Convolution(1)
+    net.filters, net.bias = [f + r.normal(0, 0.3, f.shape).astype(np.float32) for f in net.filters], [b + 0.05 for b in net.bias]
+    texts = [b"one two three two", b"", b"four", b"five one six seven eight"]
+    ids, counts, _ = buckets_of(texts)
+    y, weight = np.array([1, 0, 1, 0], np.float32), np.array([1.0, 2.0, 0.5, 1.0])
+
+    def direct(net):
+        out, s = [], 0
+        for n in counts.tolist():
+            x = [np.zeros(12)] * 2 + [net.embed[ids[s + k]].sum(0) for k in range(n)] + [np.zeros(12)] * 3
+            s += n
+            top = [max(0.0, max(sum(x[p + j] @ f[j, :, c] for j in range(len(f))) + b[c] for p in range(n + 2))) for f, b in zip(net.filters, net.bias) for c in range(f.shape[2])]
+            out.append(float(np.dot(top, net.out)) + net.out_bias[0])
+        return np.array(out)
+
+    def loss(net):
+        z = direct(net)
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).mean())
+
+    assert net.logits(ids, counts) == pytest.approx(direct(net), rel=1e-4, abs=1e-5)
+    rows, start = net.laid_out(ids, counts)
+    grads, flat, g = backward(net, rows, start, counts, y, weight)
+    checks = [(a, d) for a, d in zip([*net.filters, *net.bias, net.out, net.out_bias], grads)]
+    for a, d in checks:
+        for k in r.choice(a.size, min(6, a.size), replace=False):
+            at, old, h = np.unravel_index(k, a.shape), a.ravel()[k], 1e-2
+            a[at] = old + h
+            up = loss(net)
+            a[at] = old - h
+            down = loss(net)
+            a[at] = old
+            assert d[at] == pytest.approx((up - down) / (2 * h), abs=2e-3)
+    for k in r.choice(len(flat), 6, replace=False):
+        old = net.embed[flat[k], 3]
+        net.embed[flat[k], 3] = old + 1e-2
+        up = loss(net)
+        net.embed[flat[k], 3] = old - 1e-2
+        down = loss(net)
+        net.embed[flat[k], 3] = old
+        assert g[k, 3] == pytest.approx((up - down) / 2e-2, abs=2e-3)
+
+
 def legal(roles):
     return re.fullmatch("s?(ua)+|", "".join(r[0] for r in roles)) is not None
 
@@ -570,18 +615,29 @@ def test_rules_of_dashes():
     assert time.process_time() - began < 30
 
 
-def test_license_scan(spark, docs, none):
+def test_license_scan(spark, docs, rows, none):
     r = random.Random(6)
     known = builtin_templates()
-    rows = [(k, f"{prose(r, r.randint(0, 200))}\n{t.upper()}\n{prose(r, 50)}") for k, t in enumerate(known.values())]
-    rows += [(100, prose(r, 300)), (101, None), (102, ""), (None, known["mit-notice"])]
-    got = {(x.doc_id, x.license) for x in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {(k, n) for k, n in enumerate(known)} <= got and (None, "mit-notice") in got
-    assert not {d for d, _ in got} & {100, 101, 102}
-    assert license_scan(none).collect() == []
+    assert len(known) >= 50
+    table = [(k, f"{prose(r, r.randint(0, 200))}\n{t.upper()}\n{prose(r, 50)}") for k, t in enumerate(known.values())]
+    table += [(1000, prose(r, 300)), (1001, None), (1002, ""), (None, known["mit-notice"]), (1003, prose(r, 40000) + " " + known["isc-text"]), (1003, known["isc-text"])]
+    got = license_scan(spark.createDataFrame([(*x, "x") for x in table], "doc_id long, text string, license string")).collect()
+    found = {(x.doc_id, x.license) for x in got}
+    assert {(k, n) for k, n in enumerate(known)} <= found and (None, "mit-notice") in found
+    assert not {d for d, _ in found} & {1000, 1001, 1002} and sum((x.doc_id, x.license) == (1003, "isc-text") for x in got) == 2
+    assert license_scan(none).collect() == [] and license_scan(docs).collect() == []
+    # Every document and template by its shingles at every window, against the scan.
+    words_of = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    sets = {n: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for n, w in ((n, words_of(t)) for n, t in known.items())}
+    text = f"{prose(r, 30)} {known['bsd-2-clause-text']} {prose(r, 30)} {' '.join(known['zlib-text'].split()[:110])} {known['gpl-2.0-header'].replace('hope', 'belief')}"
+    w = words_of(text)
+    every = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    expected = {n for n, s in sets.items() if len(s & every) >= 0.8 * len(s)}
+    assert {x.license for x in license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()} == expected
+    assert {"bsd-2-clause-text", "zlib-text", "gpl-2.0-header"} <= expected and not expected & {"bsd-4-clause-text", "isc-text", "mpl-1.1-header"}
     t = Templates(known, 0.8, 0.9999)
     # Parts of a template around the limit.
-    words = known["mit-text"].lower().split()
+    words = known["unlicense-text"].lower().split()
     assert scan([" ".join(words[: int(len(words) * 0.9)]).encode()], t) and not scan([" ".join(words[: len(words) // 2]).encode()], t)
 
 

@@ -2,7 +2,8 @@
 
 Templates fall into classes by their number L of word shingles, up to powers of two. For a class a text is cut into
 blocks of L shingles, and each two adjacent blocks are a window, so that every run of L shingles lies in a window.
-A window's MinHash signature is the minimum of its blocks' signatures. Bands have one row; their number is such that a
+A window's MinHash signature is the minimum of its blocks' signatures. Bands have one row and an index from their value
+to templates; their number is such that a
 window with a run that holds the least part of a template that counts as a match collides with it in some band with
 probability `certainty` at least. Windows that collide are compared with the template by their shingles themselves.
 """
@@ -23,6 +24,7 @@ from . import common as C
 from .words import Words, batches, shingles
 
 SHINGLE = 5
+TEMPLATE_CHARS = 16 << 20
 
 
 def builtin_templates() -> dict[str, str]:
@@ -46,6 +48,13 @@ class Templates:
         for i, r in enumerate(self.runs):
             self.classes.setdefault(1 << max(0, (r - 1).bit_length()), []).append(i)
         self.bands = {size: max(self.bands_for(i, size, certainty) for i in own) for size, own in self.classes.items()}
+        # The index: for each class and band the templates in order of their least hash.
+        self.index: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for size, own in self.classes.items():
+            for row in range(self.bands[size]):
+                low = np.array([row_hash(self.sets[i], row).min() for i in own], np.uint64)
+                order = np.argsort(low, kind="stable")
+                self.index[size, row] = low[order], np.array(own)[order]
 
     def bands_for(self, i: int, size: int, certainty: float) -> int:
         """Bands of one row that find the template in a window of 2 * size shingles."""
@@ -70,7 +79,7 @@ def scan(texts: list[bytes], t: Templates) -> list[tuple[int, int, float, int]]:
     begin = np.flatnonzero(np.diff(owner, prepend=-1))
     count = np.diff(np.append(begin, len(h)))
     place = np.arange(len(h)) - np.repeat(begin, count)
-    for size, own in t.classes.items():
+    for size in t.classes:
         block = np.flatnonzero(place % size == 0)
         block_owner = owner[block]
         last = np.append(block_owner[1:] != block_owner[:-1], True)
@@ -79,9 +88,10 @@ def scan(texts: list[bytes], t: Templates) -> list[tuple[int, int, float, int]]:
         for row in range(t.bands[size]):
             low = np.minimum.reduceat(row_hash(h, row), block)
             low = np.where(last, low, np.minimum(low, np.append(low[1:], low[-1:])))
-            for i in own:
-                at = np.flatnonzero(low == row_hash(t.sets[i], row).min())
-                hits.update((i, b) for b in at.tolist())
+            known, templates = t.index[size, row]
+            first, last_ = np.searchsorted(known, low), np.searchsorted(known, low, "right")
+            for b in np.flatnonzero(first < last_).tolist():
+                hits.update((i, b) for i in templates[first[b] : last_[b]].tolist())
         for i, b in hits:
             s, e = block[b], ends[b] if last[b] else ends[b + 1]
             share = float(np.isin(t.sets[i], h[s:e]).mean())
@@ -97,9 +107,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, conta
     Words are runs of letters and digits, lower-cased; shingles have five words. first_word is where the best window
     starts. Containment is the share of the template's shingles that the window has.
 
+    Templates ride with the tasks, so their text is limited: to 16 MB, beyond which it is an error.
+
     Null, empty and wordless texts: no rows. Null doc_id passes through. Repeated rows repeat their matches. Empty table:
     empty result. Extra columns are ignored. Texts of any length are scanned whole.
     """
+    if templates and sum(map(len, templates.values())) > TEMPLATE_CHARS:
+        raise ValueError("templates are too large to send with each task")
     known = Templates(templates or builtin_templates(), containment, certainty)
     id_type = docs.schema["doc_id"].dataType
     out = T.StructType([T.StructField("doc_id", id_type), T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("first_word", T.LongType())])
@@ -107,8 +121,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, conta
 
     def find(parts):
         for batch in parts:
-            for s in range(0, batch.num_rows, 2000):
-                b = pa.Table.from_batches([batch.slice(s, 2000)])
+            for b in C.batched([batch], 2000):
                 ids, texts = b.column("doc_id").to_pylist(), [x.decode("utf-8", "replace").lower().encode() for x in C.texts_of(b)]
                 for x, y in batches(texts):
                     if rows := [(ids[x + d], known.names[i], share, first) for d, i, share, first in scan(texts[x:y], known)]:
