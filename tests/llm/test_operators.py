@@ -509,7 +509,9 @@ def test_many_short_texts(spark):
     assert got.where("class_id != doc_id - doc_id % 2").count() == 0 and got.count() == 70000
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "LINKS_A_TASK", most)
     r = random.Random(1)
     edges = [(a, b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(40)) if a != b]
     halves, label = [edges[:20], edges[20:] + [(100 + i, 101 + i) for i in range(12)]], None

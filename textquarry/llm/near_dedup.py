@@ -13,8 +13,11 @@ only small ones are looked at pair by pair, across components. No link is lost,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ from .words import Words, shingles
 SHINGLE = 5
 #: A leader with more pairs than that is joined in several parts.
 HOT_PAIRS = 5000
+#: Up to so many links are connected by one task, whose memory they bound; more in rounds of joins.
+LINKS_A_TASK = 1_000_000
 MASK = np.uint64((1 << 48) - 1)
 
 
@@ -103,8 +108,10 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, words (128-bit hash of the words in order), the band hashes, and the shingles with their weights, of each row."""
-    out = T.StructType([docs.schema["doc_id"], T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType()), T.StructField("weights", T.BinaryType())])
+    """doc_id, words (128-bit hash of the words in order), the band hashes, the shingles with their weights, and a sketch, one
+    byte of each register, of each row.
+    """
+    out = T.StructType([docs.schema["doc_id"], T.StructField("words", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType()), T.StructField("weights", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
     arrow = to_arrow_schema(out)
 
     def sign(parts):
@@ -115,30 +122,31 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             band = np.zeros((len(texts), bands), np.uint64)
             for r in range(rows):
                 band = mix(band + signature[:, :, r])
+            sketch = signature.reshape(len(texts), -1).astype(np.uint8)
             flat = pa.array(band.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), flat)
             ends, keys, weights = np.searchsorted(owner, np.arange(len(texts) + 1)), [], []
             for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 keys.append(pack_sorted(h[s:e]))
                 weights.append(b"" if n[s:e].max() == 1 else C.compress(n[s:e].astype(np.uint32).tobytes()))
-            yield from pa.Table.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), lists, pa.array(keys, pa.binary()), pa.array(weights, pa.binary())], names=arrow.names).cast(arrow).to_batches()
+            yield from pa.Table.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), lists, pa.array(keys, pa.binary()), pa.array(weights, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], names=arrow.names).cast(arrow).to_batches()
 
     return docs.select("doc_id", "text").mapInArrow(sign, out)
 
 
 def shingle_sets(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles, weights) of the texts in nodes, once each however many rows have them."""
-    sets = own.select(F.col("words").alias("node"), "shingles", "weights")
+    """(node, shingles, weights, sketch) of the texts in nodes, once each however many rows have them."""
+    sets = own.select(F.col("words").alias("node"), "shingles", "weights", "sketch")
     few = nodes.count() <= C.BROADCAST_IDS
     if few:
         sets = sets.join(F.broadcast(nodes), "node", "left_semi")
-    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
+    sets = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("shingles", "weights", "sketch")])
     return sets if few else sets.join(nodes, "node", "left_semi")
 
 
 def salted(pairs: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """pairs and the sets of their leaders b, both with a salt where a leader has very many pairs; and what to join them on."""
-    hot = C.cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PAIRS).select("b", F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("salts")))
+    hot = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_PAIRS).select("b", F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("salts"))
     if not hot.head(1):
         return pairs, two, ["b"]
     salts = F.coalesce("salts", F.lit(1))
@@ -147,6 +155,23 @@ def salted(pairs: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame, list
     return pairs, two, ["b", "salt"]
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float, registers: int) -> DataFrame:
+    """The pairs whose sketches agree as often as those of that similarity do, but for one in fifty thousand.
+
+    Most pairs of a bucket are far less alike. What is compared is a byte a register, instead of all shingles.
+    """
+    least = math.floor(registers * similarity - 4.1 * math.sqrt(registers * similarity * (1 - similarity)))
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    out = T.StructType([pairs.schema["a"], pairs.schema["b"]])
+
+    def agree(parts):
+        for batch in parts:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, registers) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+
+    return both.select("a", "b", "x", "y").mapInArrow(agree, out)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose probability Jaccard similarity is at least `similarity`, with it."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("ha"), F.col("weights").alias("wa"))
@@ -177,6 +202,38 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.mapInArrow(check, out)
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(node, component) of a bounded number of links (u, v), by hooking and pointer jumping in arrays of one task."""
+    out = T.StructType([T.StructField("node", links.schema["u"].dataType), T.StructField("component", links.schema["u"].dataType)])
+    arrow = to_arrow_schema(out)
+
+    def connect(parts):
+        held = [pa.Table.from_batches([b]) for b in parts if b.num_rows]
+        if not held:
+            return
+        table = pa.concat_tables(held)
+        ends = pa.chunked_array([*table.column("u").chunks, *table.column("v").chunks]).combine_chunks()
+        # Numbers in the order of nodes.
+        names = pc.unique(ends)
+        names = names.take(pc.sort_indices(names))
+        at = pc.index_in(ends, names).to_numpy()
+        u, v = at[: len(table)], at[len(table) :]
+        label = np.arange(len(names))
+        while True:
+            low = np.minimum(label[u], label[v])
+            new = label.copy()
+            # The label's own node is hooked too, so trees merge and not only leaves.
+            for x in (u, v, label[u], label[v]):
+                np.minimum.at(new, x, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        yield from pa.Table.from_arrays([names, names.take(pa.array(label))], names=arrow.names).cast(arrow).to_batches()
+
+    return links.coalesce(1).mapInArrow(connect, out)
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node that links (a, b) connect each node to, by hooking and pointer jumping.
 
@@ -185,6 +242,8 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if known is not None:
         both = both.unionByName(known.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    if both.count() <= LINKS_A_TASK:
+        return C.cut(connected(both))
     both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # Each node is its own neighbour, so one aggregation hooks it to the least label about it.
     label = C.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("component")).withColumnRenamed("u", "node"))
@@ -204,13 +263,13 @@ def mixed_buckets(parts: DataFrame) -> DataFrame:
     return seen.where("low != high").select("band", "value", "n")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2, pairwise: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2, pairwise: int = 128) -> DataFrame:
     """doc_id, class_id: one row per row of docs.
 
     Documents are linked if the probability Jaccard similarity of their 5-word shingles, weighted by occurrence, is at
     least `similarity`; for texts without repeated shingles that is the Jaccard similarity. Classes are the components of
     links; class_id is the smallest doc_id. Two texts of that similarity share a band with probability
-    1 - (1 - similarity**rows)**bands, 0.99993 by default.
+    1 - (1 - similarity**rows)**bands, 0.99993 by default, and pass the comparison of their sketches with 0.99998.
 
     Words are lower-cased and split at white space. A text of fewer than five words is one shingle: it is linked to texts
     with the same words only, and so are null and empty texts, which have none. A null doc_id counts as larger than all:
@@ -223,13 +282,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
     crowded = member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = C.cut(member.join(crowded.select("band", "value"), ["band", "value"], "left_semi"))
     sets = C.cut(shingle_sets(own, member.select("node").distinct()))
+    sketches = C.cut(sets.select("node", "sketch"))
     label = None
     parts = member.withColumn("component", F.col("node"))
 
     def linked(pairs: DataFrame) -> None:
         """Verifies pairs (a, b), b being the leader, and lets components grow."""
         nonlocal label
-        found = C.cut(verified(pairs.distinct(), sets, similarity))
+        found = C.cut(verified(C.cut(likely(pairs.distinct(), sketches, similarity, bands * rows)), sets, similarity))
         if found.head(1):
             label = components(found, label)
 
@@ -242,7 +302,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
             parts = with_components(member, label)
     # The buckets that still hold several components, and nothing else, go on.
     parts = C.cut(parts.join(mixed_buckets(parts), ["band", "value"]))
-    leaders = 4
+    leaders = 16
     while parts.where(F.col("n") > pairwise).head(1):
         # About so many leaders in each large bucket, by a hash, and the least one in any case; every other member meets them all.
         h = F.xxhash64("node", F.lit(leaders))
@@ -252,7 +312,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
         linked(ranked.join(lead, ["band", "value"]).where("component != led AND (NOT leads OR node > b)").select(F.col("node").alias("a"), "b"))
         rest = ranked.where("NOT leads").select("band", "value", "node", "component")
         rest = rest if label is None else with_components(rest.drop("component"), label)
-        parts, leaders = C.cut(rest.join(mixed_buckets(rest), ["band", "value"])), leaders * 4
+        parts, leaders = C.cut(rest.join(mixed_buckets(rest), ["band", "value"])), leaders * 8
     # In small buckets every pair across components.
     other = parts.select("band", "value", F.col("node").alias("b"), F.col("component").alias("c2"))
     linked(parts.join(other, ["band", "value"]).where("node > b AND component != c2").select(F.col("node").alias("a"), "b"))
