@@ -263,7 +263,7 @@ def mixed_buckets(parts: DataFrame) -> DataFrame:
     return seen.where("low != high").select("band", "value", "n")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2, pairwise: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, rows: int = 5, rounds: int = 2, pairwise: int = 512) -> DataFrame:
     """doc_id, class_id: one row per row of docs.
 
     Documents are linked if the probability Jaccard similarity of their 5-word shingles, weighted by occurrence, is at
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 24, r
             parts = with_components(member, label)
     # The buckets that still hold several components, and nothing else, go on.
     parts = C.cut(parts.join(mixed_buckets(parts), ["band", "value"]))
-    leaders = 16
+    leaders = 32
     while parts.where(F.col("n") > pairwise).head(1):
         # About so many leaders in each large bucket, by a hash, and the least one in any case; every other member meets them all.
         h = F.xxhash64("node", F.lit(leaders))
