@@ -24,6 +24,8 @@ from . import common as C
 from .words import Words, batches, shingles
 
 SHINGLE = 5
+#: Share of the larger one's shingles from which on two templates are versions of one another.
+VERSIONS = 0.6
 TEMPLATE_CHARS = 16 << 20
 
 
@@ -48,6 +50,8 @@ class Templates:
         for i, r in enumerate(self.runs):
             self.classes.setdefault(1 << max(0, (r - 1).bit_length()), []).append(i)
         self.bands = {size: max(self.bands_for(i, size, certainty) for i in own) for size, own in self.classes.items()}
+        # Versions of one another: of similar size, most of their shingles in common.
+        self.versions = {i: {j for j, b in enumerate(self.sets) if i != j and np.isin(a, b).sum() >= VERSIONS * max(len(a), len(b))} for i, a in enumerate(self.sets)}
         # The index: for each class and band the templates in order of their least hash.
         self.index: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for size, own in self.classes.items():
@@ -98,14 +102,18 @@ def scan(texts: list[bytes], t: Templates) -> list[tuple[int, int, float, int]]:
             if share >= t.containment:
                 key = (int(block_owner[b]), i)
                 best[key] = max(best.get(key, (0.0, 0)), (share, -int(place[s])))
-    return [(d, i, share, -first) for (d, i), (share, first) in sorted(best.items())]
+    # At one place, of versions of one another those that match best.
+    span = {i: 2 * max(len(t.sets[i]), 1) for i in range(len(t.names))}
+    beaten = {(d, i) for (d, i), (share, first) in best.items() for j in t.versions[i] if (d, j) in best and best[d, j][0] > share and abs(best[d, j][1] - first) <= span[i]}
+    return [(d, i, share, -first) for (d, i), (share, first) in sorted(best.items()) if (d, i) not in beaten]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, certainty: float = 0.9999) -> DataFrame:
     """doc_id, license, containment, first_word: one row per row of docs and template found in it.
 
     Words are runs of letters and digits, lower-cased; shingles have five words. first_word is where the best window
-    starts. Containment is the share of the template's shingles that the window has.
+    starts. Containment is the share of the template's shingles that the window has. Of templates that are versions of
+    one another, like headers that differ in a number, a place has the ones that match best.
 
     Templates ride with the tasks, so their text is limited: to 16 MB, beyond which it is an error.
 
