@@ -22,7 +22,7 @@ from ..plans.lineage import cut, shared_folder, stored  # noqa: F401
 
 FLUSH_BYTES = 24 << 20
 #: What a group of documents has at most, but for one longer document: bytes of text and rows.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 GROUP_ROWS = 1 << 16
 #: Up to so many ids are broadcast.
 BROADCAST_IDS = 500_000
