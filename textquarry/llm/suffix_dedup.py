@@ -33,7 +33,7 @@ NULL_ID = (1 << 63) - 1
 CHUNK = 1 << 20
 GRAM = 8
 #: Buckets for each group of documents.
-BUCKETS_A_GROUP = 8
+BUCKETS_A_GROUP = 4
 LONGEST_RUN = 64
 
 
