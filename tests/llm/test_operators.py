@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm import chat_repair as chat
 from textquarry.llm import common, near_dedup, perplexity
+from textquarry.llm import suffix_dedup as suffix
 from textquarry.llm.decontamination import Items, decontaminate, leaks, normal
 from textquarry.llm.license_scan import Templates, builtin_templates, license_scan, scan
 from textquarry.llm.line_dedup import has, insert, line_dedup, merged, places
@@ -96,6 +97,27 @@ def test_interval_expansion():
         assert earliest(pieces, owners, 16)[0].tolist() == [least[p[i : i + 16]] for p in pieces for i in range(len(p) - 15)]
 
 
+def test_suffix_dedup_parts(docs):
+    for groups in (1, 16, 103, 1260, 6300):
+        parts, buckets = suffix.layout(groups)
+        assert parts * buckets >= 4 * groups and groups * parts <= max(64 * groups, groups * (groups + 3) / 4)
+    cut = [sorted(map(str, suffix_dedup(docs, 50, groups=n).collect())) for n in (1, 40)]
+    assert cut[0] == cut[1]
+
+
+def test_suffix_dedup_common_gram(monkeypatch):
+    """Pieces that all have one 8-gram, which is one bucket, in transforms of bounded size."""
+    r, made = random.Random(2), []
+    pieces = list({bytes(r.choices(b"abcd", k=r.randint(20, 40))) + b"the same" + bytes(r.choices(b"abcd", k=r.randint(20, 40))) for _ in range(900)} | {b"a" * 60})
+    pieces += [p[5:] + b"x" for p in pieces[:300]]
+    owners = np.array([r.randint(0, 99) for _ in pieces])
+    classes = suffix.string_classes
+    monkeypatch.setattr(suffix, "string_classes", lambda s, *rest: made.append(len(s)) or classes(s, *rest))
+    whole, split = earliest(pieces, owners, 30), earliest(pieces, owners, 30, 10_000)
+    assert whole[0].tolist() == split[0].tolist() and whole[1].tolist() == split[1].tolist()
+    assert made[0] > 60_000 and len(made) > 6 and max(made[1:]) < 20_000
+
+
 @pytest.mark.parametrize(("keep", "sizes"), [("none", {}), ("first", {}), ("first", {"filter_bytes": 0}), ("first", {"broadcast_lines": 0}), ("none", {"filter_bytes": 0, "broadcast_lines": 0})])
 def test_line_dedup(docs, rows, none, keep, sizes):
     """With and without filters, and by broadcast or by groups: the same result."""

@@ -13,6 +13,9 @@ To split that work, strings are routed by content, so that equal strings meet in
    equal pieces of a group travel once, with the smallest doc_id.
 3. A bucket concatenates its distinct pieces, makes the transform, and takes the smallest doc_id over each class of
    equal windows. Groups get that number for each window of their pieces and mark the windows of later documents.
+
+Buckets that follow one another are a part, and a group sends one message to a part (`layout`). A bucket that a common
+8-gram makes too large for one transform is routed again by the fingerprints of its windows (`in_turns`).
 """
 
 from __future__ import annotations
@@ -32,11 +35,24 @@ from .common import bucket_slices, compress, expand, freeze, mix, pack_sorted, s
 NULL_ID = (1 << 63) - 1
 CHUNK = 1 << 20
 GRAM = 8
-#: Buckets for each group of documents.
+#: Buckets for each group of documents, and groups for each part of the buckets.
 BUCKETS_A_GROUP = 4
+GROUPS_A_PART = 4
+LEAST_PARTS = 64
+#: Symbols of one transform, but for windows that share a fingerprint.
+MOST_SYMBOLS = 6 << 20
+#: Answers that a part holds before it compresses them.
+REPLY_BYTES = 32 << 20
 LONGEST_RUN = 64
 
 
+def layout(groups: int) -> tuple[int, int]:
+    """Parts, and buckets of each. n groups send n * n / GROUPS_A_PART messages, once there are more than LEAST_PARTS parts."""
+    buckets = BUCKETS_A_GROUP * groups
+    parts = min(buckets, max(LEAST_PARTS, -(-groups // GROUPS_A_PART)))
+    return parts, -(-buckets // parts)
+
+
 def ramp(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count, one after another."""
     ends = np.cumsum(counts)
@@ -138,8 +154,9 @@ def order_of(key: np.ndarray, bits: int) -> np.ndarray:
     return (np.sort((key << np.uint64(places)) | np.arange(len(key), dtype=np.uint64)) & np.uint64((1 << places) - 1)).astype(np.int64)
 
 
-def suffix_array(s: np.ndarray, dist: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of s, each up to its sentinel 0, dist symbols on; equal ones by place.
+def suffix_array(s: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order of the suffixes of s, each up to its sentinel 0, dist symbols on; equal ones by place. Where in it a string
+    of the first few symbols begins that the row before hasn't, and how many symbols those are.
 
     Prefix doubling from keys of a few symbols; only suffixes that still share their prefix are sorted again.
     """
@@ -159,6 +176,7 @@ def suffix_array(s: np.ndarray, dist: np.ndarray) -> np.ndarray:
     rank = np.empty(n, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+    heads, depth = new, step
     longest, bits = int(dist.max()), int(n).bit_length()
     while len(tied) and step < longest:
         p = sa[tied]
@@ -171,20 +189,25 @@ def suffix_array(s: np.ndarray, dist: np.ndarray) -> np.ndarray:
         rank[p] = np.maximum.accumulate(np.where(new, tied, 0))
         tied = tied[~new | ~np.append(new[1:], True)]
         step *= 2
-    return sa
+    return sa, heads, depth
 
 
 def string_classes(s: np.ndarray, dist: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in s at which a string of min_len symbols without sentinel begins that begins elsewhere too, class by
     class, and where each class starts in them.
+
+    The queue starts with the intervals of the few symbols that the suffixes were first sorted by.
     """
-    sa = suffix_array(s, dist)
+    sa, heads, depth = suffix_array(s, dist)
     bwt = s[sa - 1]
     order = np.argsort(bwt, kind="stable")
     lf = np.empty(len(s), np.int32)
     lf[order] = np.arange(len(s), dtype=np.int32)
-    rows, interval = np.arange(len(s), dtype=np.int32), np.zeros(len(s), np.int32)
-    for _ in range(min_len):
+    if depth > min_len:
+        heads, depth = np.arange(len(s)) == 0, 0
+    rows = np.flatnonzero((~heads | ~np.append(heads[1:], True)) & (dist[sa] > depth)).astype(np.int32)
+    interval = np.cumsum(heads, dtype=np.int32)[rows]
+    for _ in range(min_len - depth):
         # Prepend each symbol to each interval of the queue; both are in ascending order, and so is what comes of it.
         symbol = bwt[rows]
         some = symbol > 0
@@ -201,9 +224,42 @@ def string_classes(s: np.ndarray, dist: np.ndarray, min_len: int) -> tuple[np.nd
     return sa[rows], starts
 
 
-def earliest(pieces: list[bytes], docs: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of each of the distinct pieces the smallest document that has it; and windows per piece."""
+def in_turns(pieces: list[bytes], docs: np.ndarray, min_len: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """What earliest() gives, by transforms of about `most` symbols: windows are routed by their fingerprints."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    windows, ends = sizes - min_len + 1, np.cumsum(sizes)
+    raw, done, cuts = b"".join(pieces), 0, []
+    for _, at in bucket_slices(ends // (1 << 20), ends // (1 << 20)):
+        s, e = int(at[0]), int(at[-1]) + 1
+        begin = int(ends[s] - sizes[s])
+        window = np.repeat(ends[s:e] - sizes[s:e] - begin, windows[s:e]) + ramp(windows[s:e])
+        values = fingerprints(grams8(np.frombuffer(raw, np.uint8, int(ends[e - 1]) - begin, begin)), min_len)[window]
+        first, n = runs_of(values, window)
+        cuts.append((mix(values[first]), done + first, begin + window[first], n, np.repeat(np.arange(s, e), windows[s:e])[first]))
+        done += len(window)
+    value, where, start, n, piece = (np.concatenate(x) for x in zip(*cuts))
+    turn = (value % np.uint64(-(-int((n + min_len).sum()) // most))).astype(np.int64)
+    least = np.empty(done, np.int64)
+    for _, at in bucket_slices(turn, turn):
+        known: dict[bytes, int] = {}
+        own = np.array([known.setdefault(raw[x:y], len(known)) for x, y in zip(start[at].tolist(), (start[at] + n[at] + min_len - 1).tolist())])
+        doc = np.full(len(known), NULL_ID, np.int64)
+        np.minimum.at(doc, own, docs[piece[at]])
+        best, own_windows = earliest(list(known), doc, min_len, None)
+        first = np.cumsum(own_windows) - own_windows
+        step = ramp(n[at])
+        least[np.repeat(where[at], n[at]) + step] = best[np.repeat(first[own], n[at]) + step]
+    return least, windows
+
+
+def earliest(pieces: list[bytes], docs: np.ndarray, min_len: int, most: int | None = MOST_SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each of the distinct pieces the smallest document that has it; and windows per piece.
+
+    Of more symbols than `most`, by several transforms.
+    """
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    if most and int(sizes.sum()) + len(sizes) > most:
+        return in_turns(pieces, docs, min_len, most)
     own = np.repeat(np.arange(len(pieces)), sizes + 1)
     place = ramp(sizes + 1)
     s = np.zeros(len(own), np.uint16)
@@ -219,6 +275,36 @@ def earliest(pieces: list[bytes], docs: np.ndarray, min_len: int) -> tuple[np.nd
     return least, windows
 
 
+def pack_pieces(pieces: list[bytes], docs: np.ndarray, bucket: np.ndarray, buckets: int) -> bytes:
+    """Pieces in order of their buckets (0 to buckets - 1), each with a document."""
+    counts = np.bincount(bucket, minlength=buckets).astype(np.uint32)
+    sizes = np.fromiter(map(len, pieces), np.uint32, len(pieces))
+    return compress(counts.tobytes() + sizes.tobytes() + docs.astype(np.int64).tobytes() + b"".join(pieces))
+
+
+def unpack_pieces(data: bytes, buckets: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, the borders of the pieces in them, documents, and the borders of the buckets in the pieces."""
+    raw = expand(data)
+    upto = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.uint32, buckets), dtype=np.int64)))
+    n = int(upto[-1])
+    sizes = np.frombuffer(raw, np.uint32, n, 4 * buckets)
+    start = 4 * buckets + 12 * n
+    return raw, np.concatenate(([start], start + np.cumsum(sizes, dtype=np.int64))), np.frombuffer(raw, np.int64, n, 4 * buckets + 4 * n), upto
+
+
+def pack_frames(frames: list[bytes]) -> bytes:
+    return b"".join(struct.pack("<Q", len(x)) + x for x in frames)
+
+
+def unpack_frames(data: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(data):
+        n = struct.unpack_from("<Q", data, at)[0]
+        out.append(expand(data[at + 8 : at + 8 + n]))
+        at += 8 + n
+    return b"".join(out)
+
+
 def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (of removed bytes, [start, end)) and kept (binary), one row per row of docs.
 
@@ -232,7 +318,7 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
     if min_len < 16:
         raise ValueError("min_len must be 16 or more")
     groups = groups or C.group_count(docs)
-    buckets = BUCKETS_A_GROUP * groups
+    parts, buckets = layout(groups)
     packed = C.pack(docs.select("doc_id", "text"), groups)
 
     def ids_of(table):
@@ -247,7 +333,7 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
             owners.append(ids[chunk.doc[np.searchsorted(chunk.at, at, "right") - 1]])
         h, multi = distinct(np.concatenate(hs), np.concatenate(owners))
         rows = []
-        for b, s, e in ranges(h, buckets):
+        for b, s, e in ranges(h, parts):
             x = pack_sorted(h[s:e])
             rows.append((b, g, struct.pack("<I", len(x)) + x + np.packbits(multi[s:e]).tobytes()))
         return sends(rows)
@@ -276,7 +362,7 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
         h = np.unique(np.concatenate([r[0] for r in runs]))
         again = np.zeros(len(h), bool)
         masks = dict(zip(right.column("sender").to_pylist(), right.column("payload").to_pylist()))
-        for b, s, e in ranges(h, buckets):
+        for b, s, e in ranges(h, parts):
             if b in masks:
                 again[s:e] = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=e - s)
         h = h[again]
@@ -290,10 +376,10 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
             window = np.repeat(at[hit], n[hit]) + ramp(n[hit])
             least = sliding_min(mix(chunk.grams), min_len - GRAM + 1)[window]
             s, n = runs_of(least, window)
-            parts = -(-n // LONGEST_RUN)
-            step = ramp(parts) * LONGEST_RUN
-            s, n = np.repeat(s, parts) + step, np.minimum(np.repeat(n, parts) - step, LONGEST_RUN)
-            to = (mix(least[s] ^ np.uint64(0xA5A5)) % np.uint64(buckets)).astype(np.int64)
+            cuts = -(-n // LONGEST_RUN)
+            step = ramp(cuts) * LONGEST_RUN
+            s, n = np.repeat(s, cuts) + step, np.minimum(np.repeat(n, cuts) - step, LONGEST_RUN)
+            to = (mix(least[s] ^ np.uint64(0xA5A5)) % np.uint64(parts * buckets)).astype(np.int64)
             a = window[s]
             seg = np.searchsorted(chunk.at, a, "right") - 1
             d = chunk.doc[seg]
@@ -312,12 +398,14 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
             return sends([])
         first, where, keys = ids[np.concatenate(first)], np.concatenate(where), list(known)
         place, rows = np.empty(len(keys), np.int64), []
-        for b, at in bucket_slices(where, where):
+        part = where // buckets
+        for b, at in bucket_slices(part, part):
+            at = at[np.argsort(where[at], kind="stable")]
             place[at] = np.arange(len(at))
-            rows.append((b, g, freeze(pa.table({"piece": pa.array([keys[i] for i in at.tolist()], pa.large_binary()), "doc": pa.array(first[at])}))))
+            rows.append((b, g, pack_pieces([keys[i] for i in at.tolist()], first[at], where[at] % buckets, buckets)))
         piece = np.concatenate(piece)
         windows = np.fromiter(map(len, keys), np.int64, len(keys)) - min_len + 1
-        uses = {"doc": pa.array(np.concatenate(doc), pa.int32()), "start": pa.array(np.concatenate(start), pa.int64()), "bucket": pa.array(where[piece], pa.int32()), "place": pa.array(place[piece], pa.int32()), "windows": pa.array(windows[piece], pa.int32())}
+        uses = {"doc": pa.array(np.concatenate(doc), pa.int32()), "start": pa.array(np.concatenate(start), pa.int64()), "part": pa.array(part[piece], pa.int32()), "place": pa.array(place[piece], pa.int32()), "windows": pa.array(windows[piece], pa.int32())}
         rows.append((-1 - g, g, freeze(pa.table(uses))))
         return sends(rows)
 
@@ -325,21 +413,34 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
         b = table.column("to")[0].as_py()
         if b < 0:
             return sends([(-1 - b, -1, table.column("payload")[0].as_py())])
-        known: dict[bytes, int] = {}
-        docs_, own, who = [], [], table.column("sender").to_pylist()
-        for x in table.column("payload").to_pylist():
-            t = thaw(x)
-            found = [known.setdefault(p, len(known)) for p in t.column("piece").to_pylist()]
-            own.append(np.array(found))
-            docs_.append(t.column("doc").to_numpy())
-        least = np.full(len(known), NULL_ID, np.int64)
-        for at, d in zip(own, docs_):
-            least[at] = np.minimum(least[at], d)
-        best, windows = earliest(list(known), least, min_len)
-        first, rows = np.cumsum(windows) - windows, []
-        for g, at in zip(who, own):
-            n = windows[at]
-            rows.append((g, b, compress(np.diff(best[np.repeat(first[at], n) + ramp(n)], prepend=0).tobytes())))
+        who = table.column("sender").to_pylist()
+        held = [unpack_pieces(x, buckets) for x in table.column("payload").to_pylist()]
+        open_, size, frames, last = [[] for _ in who], 0, [[] for _ in who], [0] * len(who)
+        for k in range(buckets):
+            known: dict[bytes, int] = {}
+            own = []
+            for raw, edge, _, upto in held:
+                edge = edge[upto[k] : upto[k + 1] + 1].tolist()
+                own.append(np.array([known.setdefault(raw[x:y], len(known)) for x, y in zip(edge[:-1], edge[1:])], np.int64))
+            if known:
+                least = np.full(len(known), NULL_ID, np.int64)
+                for at, (_, _, docs_, upto) in zip(own, held):
+                    least[at] = np.minimum(least[at], docs_[upto[k] : upto[k + 1]])
+                best, windows = earliest(list(known), least, min_len)
+                first = np.cumsum(windows) - windows
+                for i, at in enumerate(own):
+                    if len(at):
+                        n = windows[at]
+                        values = best[np.repeat(first[at], n) + ramp(n)]
+                        open_[i].append(np.diff(values, prepend=last[i]).tobytes())
+                        last[i] = int(values[-1])
+                        size += values.nbytes
+            if size >= REPLY_BYTES or k == buckets - 1:
+                for i, x in enumerate(open_):
+                    if x:
+                        frames[i].append(compress(b"".join(x)))
+                open_, size = [[] for _ in who], 0
+        rows = [(g, b, pack_frames(x)) for g, x in zip(who, frames)]
         return sends(rows)
 
     out = T.StructType([
@@ -360,9 +461,9 @@ def suffix_dedup(docs: DataFrame, min_len: int = 50, groups: int | None = None)
         best = {who: x for who, x in zip(right.column("sender").to_pylist(), right.column("payload").to_pylist())}
         if -1 in best:
             uses = thaw(best.pop(-1))
-            doc, start, bucket, place, windows = (uses.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "bucket", "place", "windows"))
-            for b, at in bucket_slices(bucket, bucket):
-                least = np.cumsum(np.frombuffer(expand(best[b]), np.int64))
+            doc, start, part, place, windows = (uses.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "part", "place", "windows"))
+            for b, at in bucket_slices(part, part):
+                least = np.cumsum(np.frombuffer(unpack_frames(best[b]), np.int64))
                 n = np.zeros(int(place[at].max()) + 1, np.int64)
                 n[place[at]] = windows[at]
                 first = np.cumsum(n) - n
