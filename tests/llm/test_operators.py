@@ -182,6 +182,22 @@ def test_quality_rules(docs, rows, none):
     assert quality_rules(none).collect() == []
 
 
+def test_quality_rules_take_lines_out(docs, rows):
+    norm = lambda x: re.sub(" +", " ", re.sub("[1-9]", "0", re.sub("[\t\x0b\x0c\r]", " ", x)).lower().strip(" "))
+    words = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    often: dict = {}
+    for i, t, s in rows:
+        for x in (t or "").split("\n"):
+            often.setdefault((s, norm(x)), set()).add((i, t))
+    expected = []
+    for i, t, s in rows:
+        left = t if t is None else "\n".join(x for x in t.split("\n") if not words(x) or len(often[s, norm(x)]) <= 1)
+        expected.append((i, words(t or "") - words(left or ""), left))
+    assert sum(t != left for (_, t, _), (_, _, left) in zip(rows, expected)) > 3
+    got = [(r.doc_id, r.removed_words, r.text) for r in quality_rules(docs, "source", 1).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_mix_sources(docs, rows, none):
     got = mix_sources(docs, bins=8).collect()
     assert len(got) == len(rows)
