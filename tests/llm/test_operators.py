@@ -105,6 +105,14 @@ def test_suffix_dedup_parts(docs):
     assert cut[0] == cut[1]
 
 
+def test_suffix_dedup_even_parts():
+    r = random.Random(3)
+    chunk = next(suffix.chunks([bytes(r.choices(range(97, 123), k=400_000))], 50))
+    h = np.unique(suffix.fingerprint_runs(chunk, 50)[0])
+    sizes = [e - s for _, s, e in suffix.ranges(h, 300)]
+    assert len(sizes) == 300 and max(sizes) < 2 * sum(sizes) / 300
+
+
 def test_suffix_dedup_common_gram(monkeypatch):
     """Pieces that all have one 8-gram, which is one bucket, in transforms of bounded size."""
     r, made = random.Random(2), []

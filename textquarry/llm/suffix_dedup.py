@@ -85,6 +85,11 @@ def fingerprints(g: np.ndarray, min_len: int) -> np.ndarray:
     return sliding_min(mix(h) >> np.uint64(16), min_len - 8 * parts + 1)
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """48-bit values one to one to such that fill ranges evenly; least hashes crowd at the low end."""
+    return (h * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << 48) - 1)
+
+
 class Chunk:
     """Segments of documents, one after another in `raw`; every window of a document starts in one segment."""
 
@@ -128,7 +133,7 @@ def fingerprint_runs(chunk: Chunk, min_len: int) -> tuple[np.ndarray, np.ndarray
     at = np.flatnonzero(chunk.ok)
     values = fingerprints(chunk.grams, min_len)[at]
     s, n = runs_of(values, at)
-    return values[s], at[s], n
+    return spread(values[s]), at[s], n
 
 
 def distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
