@@ -26,6 +26,23 @@ def test_rank_against_naive(spark, size, block):
     assert got == {n: texts[i][k] for n, (i, k) in enumerate(places)}
 
 
+@pytest.mark.parametrize("size", [2, 256])
+def test_rank_everywhere(spark, size):
+    """The ranks of rank_many at every place, though no request moves: one exchange, and no join."""
+    r = random.Random(size)
+    texts = [[r.randrange(size) for _ in range(n)] for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 2500)] + [[1] * 1200]
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)] + [(99, None)], "text_id long, t binary")
+    symbols = sorted({0, 1, 48 % size, 49 % size, 92 % size, size - 1})
+    got = rank.rank_table(df, size, 16).rank_everywhere(symbols)
+    assert got.dtypes == [("text_id", "bigint"), ("idx", "bigint"), ("symbol", "int"), ("rank", "bigint")]
+    rows = [tuple(x) for x in got.collect()]
+    assert sorted(rows) == [(i, k, c, t[:k].count(c)) for i, t in enumerate(texts) for k in range(len(t) + 1) for c in symbols]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    with pytest.raises(ValueError):
+        rank.rank_table(df, size).rank_everywhere([size])
+
+
 def test_rank_errors(spark):
     table = rank.rank_table(spark.createDataFrame([(0, bytearray(b"\0\1"))], "text_id long, t binary"), 2)
     for symbol, idx in ((2, 0), (0, 3), (0, 5000)):

@@ -109,7 +109,7 @@ class Alphabet:
         """A binary column with every byte made canonical. on_invalid: error, null, or drop (the bytes)."""
         t = F.decode(text, LATIN)
         if on_invalid == "drop":
-            t = F.regexp_replace(t, f"[^{self.pattern()}]", "")
+            t = F.regexp_replace(t, f"[^{self.pattern()}]+", "")
         if more := [(b, g[0]) for g in self.groups for b in g[1:] if g[0]]:
             t = F.translate(t, bytes(b for b, _ in more).decode("latin-1"), bytes(c for _, c in more).decode("latin-1"))
         for g in self.groups:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from .build import at
 
+#: Symbols of a text that share one checkpoint where every place is asked, and those in one word of bits.
+SPAN, WORD = 1024, 64
+
 
 @dataclass(frozen=True)
 class RankTable:
@@ -37,6 +41,32 @@ class RankTable:
         total = (F.coalesce(F.try_element_at("before", F.col("symbol")), F.lit(0)) + here).cast("long")
         return found.select("request_id", F.when(bad, F.raise_error(F.lit("symbol or index out of range")).cast("long")).otherwise(total).alias("rank"))
 
+    def rank_everywhere(self, symbols: list[int]) -> DataFrame:
+        """(text_id, idx, symbol, rank) for each of these symbols at each place of each text and at its end.
+
+        As rank_many for all these requests, but none of them moves: texts are moved once, cut to spans, and each span
+        answers for its own places, by the occurrences before it and a word of bits for each symbol.
+        """
+        if not all(0 <= s < self.alphabet_size for s in symbols):
+            raise ValueError("symbol out of range")
+        n = F.length("t")
+        spans = self.texts.select("text_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor(n / SPAN).cast("int"))).alias("span"), "t")
+        spans = spans.select("text_id", "span", (F.col("n") - F.col("span") * SPAN).alias("rest"), at(F.col("t"), F.col("span") * SPAN, SPAN).alias("piece"))
+        text = F.decode("piece", "ISO-8859-1")
+        found = [(F.length(text) - F.length(F.replace(text, F.lit(chr(s)), F.lit("")))).alias(f"n{s}") for s in symbols]
+        earlier = Window.partitionBy("text_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.select("*", *found).select("text_id", "span", F.least(F.lit(SPAN - 1), "rest").alias("last"), "piece", *[F.coalesce(F.sum(f"n{s}").over(earlier), F.lit(0)).alias(f"n{s}") for s in symbols])
+        marks = F.array(*[F.struct(F.lit(s).alias("symbol"), F.col(f"n{s}").alias("before"), marked(text, s).alias("marks")) for s in symbols])
+        spans = spans.select("text_id", "span", "last", F.explode(marks).alias("x")).select("text_id", "span", "last", "x.*")
+        words = spans.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / WORD).cast("int"))).alias("word"))
+        before = F.col("before") + F.length(F.replace(F.substring("marks", F.lit(1), F.col("word") * WORD), F.lit("0"), F.lit("")))
+        # The first place is the lowest bit.
+        mask = F.conv(F.reverse(F.substring("marks", F.col("word") * WORD + 1, F.lit(WORD))), 2, -10)
+        base = (F.col("span") * F.lit(SPAN).cast("long") + F.col("word") * WORD).alias("base")
+        words = words.select("text_id", "symbol", base, before.alias("before"), F.coalesce(mask.cast("long"), F.lit(0).cast("long")).alias("mask"), F.least(F.lit(WORD - 1), F.col("last") - F.col("word") * WORD).alias("top"))
+        places = words.select("*", F.explode(F.sequence(F.lit(0), "top")).alias("i"))
+        return places.select("text_id", (F.col("base") + F.col("i")).alias("idx"), "symbol", (F.col("before") + bits.popcount_before(F.col("mask"), F.col("i"))).alias("rank"))
+
     def symbol_at_many(self, requests: DataFrame) -> DataFrame:
         """(request_id, symbol) of (request_id, text_id, idx); an idx beyond the text is an error."""
         found = requests.withColumn("block", F.floor(F.col("idx") / self.block).cast("int")).join(self.blocks.select("text_id", "block", "piece"), ["text_id", "block"], "left")
@@ -45,6 +75,13 @@ class RankTable:
         return found.select("request_id", F.when(bad, F.raise_error(F.lit("index out of range")).cast("int")).otherwise(F.ascii(F.decode(one, "ISO-8859-1"))).alias("symbol"))
 
 
+def marked(text: Column, symbol: int) -> Column:
+    """A string of 1 for each occurrence of a symbol and 0 for each other one."""
+    # A character that no byte is decoded to stands for the others in between.
+    others = F.regexp_replace(text, f"(?s)[^\\x{symbol:02x}]", "\u0100")
+    return F.translate(others, f"{chr(symbol)}\u0100", "10")
+
+
 def rank_table(texts: DataFrame, alphabet_size: int, block: int = 1024) -> RankTable:
     """A rank structure over (text_id, t), t binary with one dense symbol below alphabet_size (2 to 256) a byte.
 
