@@ -5,6 +5,9 @@ texts has (text_id long, t binary), every byte canonical.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,76 @@ def postings(texts: DataFrame, k: int, chunk: int = 1 << 16, width: int = 64) ->
     return positions(texts, k, chunk).select("text_id", position.alias("position"), at(F.col("piece"), F.col("i"), k).alias("gram"))
 
 
+#: Positions that are put in order of their grams at a time, and those of one gram that a row holds at most.
+SLAB, ROW = 1 << 20, 1 << 10
+
+
+def packed_postings(texts: DataFrame, alphabet: Alphabet, k: int, chunk: int = 1 << 16, width: int = 64) -> DataFrame:
+    """(gram, text_id, position), the last two arrays of one length: the rows of postings(), many to a row."""
+    top = F.length("t")
+    pieces = texts.where("t IS NOT NULL").select("text_id", top.alias("n"), F.explode(F.sequence(F.lit(0), top, F.lit(chunk))).alias("base"), "t")
+    owned = F.least(F.lit(chunk), F.col("n") + 1 - F.col("base")).cast("int").alias("owned")
+    pieces = pieces.select("text_id", F.col("base").cast("long").alias("base"), owned, at(F.col("t"), F.col("base"), chunk + k - 1).alias("piece"))
+    canonical, places = sorted({g[0] for g in alphabet.groups}), pa.int32() if width == 32 else pa.int64()
+
+    def pack(batches):
+        for batch in batches:
+            sizes = np.cumsum(batch.column("owned").to_numpy())
+            begin = 0
+            while begin < len(sizes):
+                # A slab has one piece at least.
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + SLAB, "right")))
+                yield packed(batch.slice(begin, end - begin), canonical, k, places)
+                begin = end
+
+    return pieces.mapInArrow(pack, f"gram binary, text_id array<bigint>, position array<{'int' if width == 32 else 'bigint'}>")
+
+
+def packed(pieces: pa.RecordBatch, canonical: list[int], k: int, places: pa.DataType) -> pa.RecordBatch:
+    """The positions that pieces (text_id, base, owned, piece) own, in order of gram, text and position as they come."""
+    owned = pieces.column("owned").to_numpy().astype(np.int64)
+    cut = pieces.column("piece").to_pylist()
+    sizes = np.array([len(x) for x in cut], dtype=np.int64)
+    starts = np.cumsum(sizes + k) - sizes - k
+    joined = b"".join(x + bytes(k) for x in cut)
+    # Symbols count from 1 in order of their bytes; after a text there are zeros, so a shorter gram comes first.
+    table = np.zeros(256, dtype=np.uint64)
+    table[canonical] = np.arange(1, len(canonical) + 1)
+    symbols = table[np.frombuffer(joined, dtype=np.uint8)]
+    symbols[((starts + sizes)[:, None] + np.arange(k)).ravel()] = 0
+    ahead = np.cumsum(owned) - owned
+    total = int(owned.sum())
+    where = np.repeat(starts - ahead, owned) + np.arange(total)
+    base, most = len(canonical) + 1, 1
+    code = np.zeros(total, dtype=np.uint64)
+    for d in range(k):
+        if most * base > 1 << 63:
+            # Ranks of what was seen so far are as good.
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
+            most = total
+        code, most = code * np.uint64(base) + symbols[where + d], most * base
+    order = np.argsort(code.astype(np.uint16) if most <= 1 << 16 else code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    # A frequent gram is several rows, so rows are of one size and can be spread.
+    counts = np.diff(np.append(first, total))
+    rows = -(-counts // ROW)
+    begin = np.repeat(first, rows) + (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)) * ROW
+    offsets = pa.array(np.append(begin, total).astype(np.int32))
+    ends = np.repeat(starts + sizes, owned)
+    grams = [joined[a:b] for a, b in zip(where[order[begin]], np.minimum(where + k, ends)[order[begin]])]
+    texts = np.repeat(pieces.column("text_id").to_numpy(), owned)[order]
+    position = (np.repeat(pieces.column("base").to_numpy() - ahead, owned) + np.arange(total))[order]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(texts, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(position, pa.int64()).cast(places))]
+    return pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), *lists], ["gram", "text_id", "position"])
+
+
+def unpacked(packs: DataFrame, *others: str) -> DataFrame:
+    """(text_id, position, gram) and other columns of packed postings."""
+    each = packs.select("gram", *others, F.posexplode("text_id").alias("i", "text_id"), F.col("position").alias("positions"))
+    return each.select("text_id", F.get("positions", F.col("i")).alias("position"), "gram", *others)
+
+
 def narrowed(position: Column) -> Column:
     """A 64-bit position as 32 bits; one that doesn't fit is an error."""
     wide = F.raise_error(F.lit("a position doesn't fit 32 bits")).cast("int")

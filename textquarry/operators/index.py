@@ -35,6 +35,8 @@ class TextIndex:
     postings: DataFrame
     grams: DataFrame
     filed: bool = False
+    #: The postings of a saved index as they lie, many of a gram in a row.
+    packs: DataFrame | None = None
 
     @property
     def k(self) -> int:
@@ -84,7 +86,7 @@ class TextIndex:
 
     def filed_hits(self, folded: DataFrame) -> DataFrame:
         """(query_id, text_id, position) from the postings: only slices and row groups with a seed's gram are read."""
-        seeds, filed = self.seeds(folded), self.postings
+        seeds, filed = self.seeds(folded), self.packs
         known = seeds.limit(BROADCAST_ROWS + 1).collect()
         if len(known) <= BROADCAST_ROWS:
             grams = sorted({bytes(r.gram) for r in known})
@@ -96,7 +98,8 @@ class TextIndex:
         else:
             # Dynamic pruning by slice is left to the planner.
             seeds, several = seeds.withColumn("slice", build.slice_column(F.col("gram"), self.slice_bytes)), {True, False}
-        found = filed.join(seeds, [c for c in ("slice", "gram") if c in seeds.columns]).select("query_id", "text_id", (F.col("position") - F.col("shift")).alias("position"), "tiles")
+        found = build.unpacked(filed.join(seeds, [c for c in ("slice", "gram") if c in seeds.columns]), "query_id", "shift", "tiles")
+        found = found.select("query_id", "text_id", (F.col("position") - F.col("shift")).alias("position"), "tiles")
         single = found.where("tiles = 1").select(*HITS)
         # Tiles of one hit meet by its place; a place has each tile once.
         joint = found.where("tiles > 1 AND position >= 0").groupBy(*HITS, "tiles").agg(F.count(F.lit(1)).alias("n")).where("n = tiles").select(*HITS)
