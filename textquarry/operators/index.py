@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet
 from ..plans.config import IndexConfig
-from . import build
+from . import build, scan
 from .build import at
 from .cursor import Cursor, Cursors
 
@@ -19,6 +19,8 @@ HITS = ("query_id", "text_id", "position")
 BROADCAST_ROWS = 20000
 #: Up to so many distinct grams are literals of the scan of the postings, beside the slices they lie in.
 LITERAL_GRAMS = 500
+#: Up to so many queries are literals of a pass over the texts.
+LITERAL_QUERIES = 16
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,10 @@ class TextIndex:
         return single if several <= {False} else joint if several == {True} else single.unionByName(joint)
 
     def scanned_hits(self, folded: DataFrame) -> DataFrame:
-        """(query_id, text_id, position) by one pass over the texts: each position's first bytes are looked up among the queries."""
+        """(query_id, text_id, position) by one pass over the texts: a few queries are literals; of more, each position's
+        first bytes are looked up."""
+        if few := self.literals(folded):
+            return scan.scan_locate(self.texts, few, self.config.chunk)
         cut_at = F.least(F.length("q"), F.lit(self.k))
         seen = folded.agg(F.collect_set(cut_at).alias("sizes"), F.max(F.length("q")).alias("longest"), F.count(F.lit(1)).alias("n")).first()
         keyed = folded.select("query_id", "q", at(F.col("q"), F.lit(0), cut_at).alias("key"))
@@ -117,6 +122,14 @@ class TextIndex:
         found = spread.join(F.broadcast(keyed) if seen.n <= BROADCAST_ROWS else keyed, "key")
         return found.where(at(F.col("piece"), F.col("i"), F.length("q")) == F.col("q")).select(*HITS)
 
+    def literals(self, folded: DataFrame) -> dict[int, bytes]:
+        """The queries, if they are few; nothing otherwise."""
+        known = folded.limit(LITERAL_QUERIES + 1).collect()
+        if len(known) > LITERAL_QUERIES or any(r.q is None or r.query_id is None for r in known):
+            return {}
+        few = {r.query_id: bytes(r.q) for r in known}
+        return few if len(few) == len(known) else {}
+
     @property
     def slice_bytes(self) -> int:
         return build.slice_bytes(self.alphabet, self.k)
@@ -133,6 +146,8 @@ class TextIndex:
         """(query_id, n) for every query, 0 included. In a saved index queries of up to k bytes are looked up, others located."""
         every = queries.select(F.col("query_id").cast("long").alias("query_id"))
         if not self.filed:
+            if few := self.literals(self.fold_queries(queries, strict)):
+                return scan.scan_count(self.texts, few)
             found = self.locate_many(queries, strict).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
             return every.join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
         folded = self.fold_queries(queries, strict)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,11 @@ def scan_locate(texts: DataFrame, queries: dict[int, bytes], chunk: int = 1 << 1
         hit = F.lit(True) if not q else F.contains(F.col("t"), F.lit(q))
         some = hit if some is None else some | hit
     spread = positions(texts.where(some), max(1, *map(len, queries.values())), chunk)
-    hits = F.array_compact(F.array(*[F.when(at(F.col("piece"), F.col("i"), len(q)) == F.lit(q), F.lit(i).cast("long")) for i, q in queries.items()]))
-    return spread.select(F.explode(hits).alias("query_id"), "text_id", "position")
+    here = {i: at(F.col("piece"), F.col("i"), len(q)) == F.lit(q) for i, q in queries.items()}
+    # Most positions have no hit: they go before anything is made of them.
+    spread = spread.where(reduce(or_, here.values()))
+    hits = F.array(*[F.when(hit, F.lit(i).cast("long")) for i, hit in here.items()])
+    return spread.select(F.explode(hits).alias("query_id"), "text_id", "position").where("query_id IS NOT NULL")
 
 
 def naive_hits(texts: dict[int, bytes], query: bytes) -> set[tuple[int, int]]:
