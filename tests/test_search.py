@@ -1,8 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from textquarry.functions.alphabet import ascii_dna, ascii_dna_with_n, u8_until
 from textquarry.operators import build
 from textquarry.operators.cursor import extend_hits
@@ -150,6 +153,47 @@ def test_plans_of_a_saved_index(spark, tmp_path, capsys, monkeypatch):
     assert hits(saved, patterns) == expected
 
 
+@pytest.mark.parametrize(("k", "alphabet"), [(2, ascii_dna_with_n()), (5, ascii_dna_with_n()), (40, ascii_dna_with_n()), (9, u8_until(254))])
+def test_packed_postings(spark, monkeypatch, k, alphabet):
+    """The same postings as one by one, in order, few to a row, over pieces and slabs; also where codes of grams outgrow 64 bits."""
+    monkeypatch.setattr(build, "ROW", 7)
+    r = random.Random(k)
+    symbols = bytes(sorted({g[0] for g in alphabet.groups}))
+    texts = build.fold_texts(literal_texts(spark, [b"", symbols[:1] * 300, *[bytes(r.choices(symbols, k=n)) for n in (1, 50, 90, 200)], symbols[:2] * 60]), alphabet)
+    pieces = texts.select("text_id", F.lit(0).cast("long").alias("base"), (F.length("t") + 1).cast("int").alias("owned"), F.col("t").alias("piece")).toArrow().combine_chunks().to_batches()[0]
+    rows = build.packed(pieces, sorted(symbols), k, pa.int64()).to_pylist()
+    assert all(1 <= len(x["text_id"]) == len(x["position"]) <= 7 for x in rows)
+    flat = [(x["gram"], *y) for x in rows for y in zip(x["text_id"], x["position"])]
+    expected = sorted((bytes(x.gram), x.text_id, x.position) for x in build.postings(texts, k).collect())
+    assert flat == expected
+    spread = build.unpacked(build.packed_postings(texts, alphabet, k, 16, 32))
+    assert dict(spread.dtypes)["position"] == "int"
+    assert sorted((bytes(x.gram), x.text_id, x.position) for x in spread.collect()) == expected
+
+
+def test_rows_of_a_saved_index(spark, tmp_path):
+    """Locating reads rows of many postings; a common gram isn't one row for each of its positions."""
+    saved = save_index(build_index(literal_texts(spark, [b"A" * 5000]), ascii_dna(), IndexConfig(lookup_table_depth=3)), str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index/postings")).count() <= 12
+    assert saved.locate(b"AA").count() == 4999 and saved.postings.count() == 5001
+
+
+def test_cursors_keep_what_is_not_at_rest(spark, tmp_path):
+    """In a saved index short queries' hits stay where they are; without one, extending is one pass and no join."""
+    index = build_index(literal_texts(spark, [b"ACGTACGT", b"GTTTACG"]), ascii_dna(), IndexConfig(lookup_table_depth=3))
+    saved = save_index(index, str(tmp_path / "index"))
+    first = saved.cursors_for_many_queries(saved.queries([b"", b"ACG", b"GT"]))
+    assert first.locate().count() == 17 + 3 + 3 and first._hits.count() == 0
+    second = first.extend_query_front(ord("T"))
+    assert {r.query_id: r.n for r in second.count().collect()} == {0: 5, 1: 2, 2: 0}
+    assert sorted(tuple(r) for r in second._hits.collect()) == [(1, 0, 3), (1, 1, 3)]
+    third = second.extend_query_front(ord("G"))
+    assert {r.query_id: r.n for r in third.count().collect()} == {0: 3, 1: 1, 2: 0}
+    assert sorted((r.query_id, r.text_id, r.position) for r in third.locate().collect() if r.query_id) == [(1, 0, 2)]
+    for df in (index.count_many(index.queries([b"AC", b""])), index.locate_many(index.queries([b"AC", b"T"]))):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cursors(spark, tmp_path):
     texts = [b"AaACGT", b"AacGtn", b"GTGTGT"]
     index = build_index(literal_texts(spark, texts), ascii_dna_with_n(), IndexConfig(lookup_table_depth=3))
