@@ -103,8 +103,9 @@ class TextIndex:
         found = build.unpacked(filed.join(seeds, [c for c in ("slice", "gram") if c in seeds.columns]), "query_id", "shift", "tiles")
         found = found.select("query_id", "text_id", (F.col("position") - F.col("shift")).alias("position"), "tiles")
         single = found.where("tiles = 1").select(*HITS)
-        # Tiles of one hit meet by its place; a place has each tile once.
-        joint = found.where("tiles > 1 AND position >= 0").groupBy(*HITS, "tiles").agg(F.count(F.lit(1)).alias("n")).where("n = tiles").select(*HITS)
+        # Tiles of one hit meet by its place; a place has each tile once. They move before they are counted, as few of a task
+        # meet in it and counting them there would hold them all.
+        joint = found.where("tiles > 1 AND position >= 0").repartition("query_id", "text_id", "position").groupBy(*HITS, "tiles").agg(F.count(F.lit(1)).alias("n")).where("n = tiles").select(*HITS)
         return single if several <= {False} else joint if several == {True} else single.unionByName(joint)
 
     def scanned_hits(self, folded: DataFrame) -> DataFrame:
